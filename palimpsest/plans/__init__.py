@@ -6,7 +6,7 @@ from importlib import import_module
 
 from palimpsest.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("text",)
+_MODULES = ("text", "metrics")
 
 
 def _load() -> None:
