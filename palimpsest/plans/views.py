@@ -73,3 +73,158 @@ doc_tokens AS (
     SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS toks
     FROM documents)
 )"""
+
+
+# ---- commits, contents and source files -----------------------------------
+
+_SUBJECTS = {
+    "1-URGENT": "fix crash",
+    "2-HIGH": "prefix bug",
+    "3-MEDIUM": "Fix typo",
+    "4-NOT SPECIFIED": "handle error path",
+}
+
+
+def commits(t: Tables) -> DataFrame:
+    """One commit per order with a nested list of changed files."""
+    subject = F.lit("add feature")
+    for priority, text in _SUBJECTS.items():
+        subject = F.when(F.col("o_orderpriority") == priority, text).otherwise(subject)
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    repo = F.concat(F.lit("org/r"), (cust % 50).cast("string"))
+    fork = F.concat(F.lit("fork/r"), (cust % 50).cast("string"))
+    first, second = (F.concat(F.lit(p), key.cast("string")) for p in ("p", "q"))
+
+    def diff(i):
+        part = (key * 7 + i * 13) % 997
+        name = F.concat(part.cast("string"), F.when(part % 3 == 0, ".md").otherwise(".py"))
+        new = F.concat(F.lit("src/m"), name)
+        return F.struct(
+            F.when(part % 10 == 0, F.concat(F.lit("lib/m"), name)).otherwise(new).alias("old_path"),
+            new.alias("new_path"),
+            F.when((key + i) % 6 != 0, "100644").alias("old_mode"),
+            F.when((key + i) % 11 != 5, "100644").alias("new_mode"),
+        )
+
+    return t.orders.select(
+        F.concat(F.lit("c"), key.cast("string")).alias("commit"),
+        subject.alias("subject"),
+        F.when(cust % 101 == 0, F.array().cast("array<string>"))
+        .when(cust % 97 == 0, F.array(repo, repo))
+        .when(cust % 3 == 0, F.array(repo, fork))
+        .otherwise(F.array(repo)).alias("repo_name"),
+        F.when(key % 10 == 0, F.array().cast("array<string>"))
+        .when(key % 7 == 0, F.array(first, second))
+        .otherwise(F.array(first)).alias("parent"),
+        F.transform(F.sequence(F.lit(0).cast("long"), cust % 8), diff).alias("difference"),
+    )
+
+
+_SUBJECT_SQL = " ".join(f"WHEN '{p}' THEN '{s}'" for p, s in _SUBJECTS.items())
+COMMITS_SQL = f"""
+commits AS (
+  SELECT o_orderkey AS key, 'c' || o_orderkey AS commit,
+    CASE o_orderpriority {_SUBJECT_SQL} ELSE 'add feature' END AS subject,
+    CASE WHEN o_custkey % 101 = 0 THEN []::VARCHAR[]
+      WHEN o_custkey % 97 = 0 THEN ['org/r' || o_custkey % 50, 'org/r' || o_custkey % 50]
+      WHEN o_custkey % 3 = 0 THEN ['org/r' || o_custkey % 50, 'fork/r' || o_custkey % 50]
+      ELSE ['org/r' || o_custkey % 50] END AS repo_name,
+    CASE WHEN o_orderkey % 10 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS parents,
+    o_custkey % 8 + 1 AS n_files
+  FROM orders
+),
+files AS (
+  SELECT *, (key * 7 + i * 13) % 997 AS part,
+    'src/m' || (key * 7 + i * 13) % 997 || CASE WHEN (key * 7 + i * 13) % 997 % 3 = 0 THEN '.md' ELSE '.py' END AS new_path,
+    CASE WHEN (key * 7 + i * 13) % 997 % 10 = 0 THEN 'lib/m' ELSE 'src/m' END || (key * 7 + i * 13) % 997
+      || CASE WHEN (key * 7 + i * 13) % 997 % 3 = 0 THEN '.md' ELSE '.py' END AS old_path,
+    (key + i) % 6 <> 0 AND (key + i) % 11 <> 5 AS has_modes
+  FROM (SELECT *, unnest(range(n_files)) AS i FROM commits)
+),
+changes AS (
+  SELECT repo_name, 'p' || key AS commit_before, commit AS commit_after, i AS diff_index,
+    old_path AS file_before, new_path AS file_after, part
+  FROM files WHERE parents > 0 AND n_files <= 5 AND has_modes
+)"""
+
+# Source texts: the same templates fill both forms.
+_BEFORE = '''"""Module @K@."""
+import os
+
+def load_@K@(path, size=@A@):
+    """Read."""
+    data = os.read(path, size)  # all of it
+    if size > @B@:
+        return data + 'x@C@'
+    return data
+
+class Box@K@:
+    """Box."""
+    width = @K@
+
+    def area(self, scale):
+        return self.width * scale * 1.5
+
+    class Inner:
+        def depth(self):
+            return f'{self.d}!'
+
+def gone_@K@():
+    "only a docstring"
+'''
+_AFTER = (
+    _BEFORE.replace("size > @B@", "size >= @B@")
+    .replace("1.5", "2.5")
+    .replace("gone_", "came_")
+)
+_BROKEN = "def load_@K@(path:\n    return path\n"
+
+
+def _fill(template: str, k) -> object:
+    out = F.replace(F.lit(template), F.lit("@K@"), k.cast("string"))
+    for mark, mod in (("@A@", 7), ("@B@", 5), ("@C@", 13)):
+        out = F.replace(out, F.lit(mark), (k % mod).cast("string"))
+    return out
+
+
+def fill_sql(template: str, k: str = "k") -> str:
+    quoted = template.replace("'", "''")
+    return (f"replace(replace(replace(replace('{quoted}', '@K@', ({k})::VARCHAR), '@A@', ({k} % 7)::VARCHAR), "
+            f"'@B@', ({k} % 5)::VARCHAR), '@C@', ({k} % 13)::VARCHAR)")
+
+
+def _source(k, after: bool):
+    if not after:
+        return _fill(_BEFORE, k)
+    return F.when(k % 20 == 0, _fill(_BROKEN, k)).otherwise(_fill(_AFTER, k))
+
+
+def contents(t: Tables) -> DataFrame:
+    """Text of every (repository, sha, path); one in eleven parts is missing
+    and one in four is in no first repository."""
+    from palimpsest.operators.mining import file_changes
+
+    rows = file_changes(commits(t)).select(
+        F.explode("repositories").alias("repository"), "commit_before", "commit_after",
+        "file_before", "file_after")
+    part = F.regexp_extract("file_after", "m([0-9]+)", 1).cast("long")
+    sides = F.array(*[
+        F.struct(F.col(f"commit_{s}").alias("sha"), F.col(f"file_{s}").alias("path"),
+                 _source(part, s == "after").alias("text")) for s in ("before", "after")])
+    absent = (part % 11 == 0) | ((part % 4 == 0) & F.col("repository").startswith("org/"))
+    return (
+        rows.select("repository", part.alias("part"), absent.alias("absent"), F.explode(sides).alias("s"))
+        .select("repository", "s.sha", "s.path",
+                F.when(F.col("absent"), 404).otherwise(200).alias("status"), "s.text")
+        .dropDuplicates(["repository", "sha", "path"])
+    )
+
+
+def source_changes(t: Tables) -> DataFrame:
+    """One changed file per part with its text before and after."""
+    k = F.col("p_partkey")
+    return t.part.select(
+        k.alias("change_id"), _source(k, False).alias("code_before"), _source(k, True).alias("code_after"))
+
+
+SOURCE_SQL = "source_changes AS (SELECT p_partkey AS k, p_partkey % 20 = 0 AS broken FROM part)"
