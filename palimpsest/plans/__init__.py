@@ -6,7 +6,7 @@ from importlib import import_module
 
 from palimpsest.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("text", "metrics", "mining")
+_MODULES = ("text", "metrics", "mining", "code")
 
 
 def _load() -> None:

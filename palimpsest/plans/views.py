@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import one_line, words
 from palimpsest.plans.registry import Tables
+from palimpsest.session import spread
 
 
 # ---- pairs of texts -------------------------------------------------------
@@ -223,8 +224,89 @@ def contents(t: Tables) -> DataFrame:
 def source_changes(t: Tables) -> DataFrame:
     """One changed file per part with its text before and after."""
     k = F.col("p_partkey")
-    return t.part.select(
+    parts = spread(t.part.select("p_partkey"), "p_partkey")
+    return parts.select(
         k.alias("change_id"), _source(k, False).alias("code_before"), _source(k, True).alias("code_after"))
 
 
 SOURCE_SQL = "source_changes AS (SELECT p_partkey AS k, p_partkey % 20 = 0 AS broken FROM part)"
+
+
+# ---- code already cut into tokens -----------------------------------------
+
+def code_tokens(t: Tables) -> DataFrame:
+    """One small function pair per order line, as a token table."""
+    from palimpsest.functions.literals import literal_class
+
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("p_partkey"), F.min("l_quantity").alias("q"), F.min("l_tax").alias("x"))
+    named = lines.join(t.part.select("p_partkey", "p_name"), "p_partkey")
+    func, arg = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    arg = F.when(F.col("p_partkey") % 5 == 0, "IDENTIFIER_0").otherwise(arg)
+    quantity = F.col("q").cast("long").cast("string")
+    line, tax = F.col("l_linenumber").cast("string"), F.col("x").cast("string")
+
+    def tokens(number, last):
+        parts = ["def", func, "(", arg, ")", ":", "$NEWLINE", "$INDENT", "return", arg, "+",
+                 number, "*", last, "$NEWLINE", "$DEDENT"]
+        return F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    sides = F.explode(F.array(
+        F.struct(F.lit("before").alias("side"), tokens(quantity, tax).alias("w")),
+        F.struct(F.lit("after").alias("side"), tokens(line, func).alias("w"))))
+    rows = named.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), sides.alias("s"))
+    rows = rows.select("pair_id", "s.side", F.posexplode("s.w").alias("pos", "token"))
+    marker = F.col("token").startswith("$")
+    return rows.withColumns({
+        "cls": F.when(~marker, literal_class("token")), "value": F.col("token"),
+        "visit": F.lit(None).cast("int")})
+
+
+CODE_TOKENS_SQL = """
+code_lines AS (
+  SELECT l_orderkey * 10 + l_linenumber AS pair_id, l_linenumber::VARCHAR AS line, q::BIGINT::VARCHAR AS quantity, x::VARCHAR AS tax,
+    split_part(p_name, ' ', 1) AS func, CASE WHEN p.p_partkey % 5 = 0 THEN 'IDENTIFIER_0' ELSE split_part(p_name, ' ', 2) END AS arg
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_quantity) AS q, min(l_tax) AS x FROM lineitem GROUP BY ALL)
+  JOIN part p ON p.p_partkey = pk
+),
+code_arrays AS (
+  SELECT pair_id, 'before' AS side, ['def', func, '(', arg, ')', ':', '$NEWLINE', '$INDENT', 'return', arg, '+', quantity, '*', tax, '$NEWLINE', '$DEDENT'] AS w FROM code_lines
+  UNION ALL
+  SELECT pair_id, 'after', ['def', func, '(', arg, ')', ':', '$NEWLINE', '$INDENT', 'return', arg, '+', line, '*', func, '$NEWLINE', '$DEDENT'] FROM code_lines
+),
+code_rows AS (SELECT pair_id, side, unnest(range(len(w))) AS pos, unnest(w) AS token FROM code_arrays),
+code_tokens AS (
+  SELECT *, CASE WHEN token IN ('def', 'return') OR token LIKE '$%' THEN NULL
+    WHEN regexp_matches(token, '^[A-Za-z_][A-Za-z_0-9]*$') THEN 'identifier'
+    WHEN regexp_matches(token, '^[0-9]+$') THEN 'int'
+    WHEN regexp_matches(token, '^[0-9]+[.][0-9]*$') THEN 'float' END AS cls
+  FROM code_rows
+),
+idioms AS (
+  SELECT cls, token AS value, count(*) AS n, row_number() OVER (PARTITION BY cls ORDER BY count(*) DESC, token) AS rank
+  FROM code_tokens WHERE cls IS NOT NULL GROUP BY cls, token
+  QUALIFY rank <= CASE cls WHEN 'identifier' THEN 5 WHEN 'int' THEN 3 ELSE 2 END
+),
+flagged AS (
+  SELECT t.*, t.cls IS NOT NULL AND i.value IS NULL AS replaced FROM code_tokens t
+  LEFT JOIN idioms i ON i.cls = t.cls AND i.value = t.token
+),
+firsts AS (
+  SELECT pair_id, cls, token, row_number() OVER (PARTITION BY pair_id, cls ORDER BY min(CASE side WHEN 'before' THEN 0 ELSE 1000 END + pos)) - 1 AS r
+  FROM flagged WHERE replaced GROUP BY pair_id, cls, token
+),
+taken AS (SELECT DISTINCT pair_id FROM code_tokens WHERE token = 'IDENTIFIER_0'),
+placeholders AS (
+  SELECT f.pair_id, f.cls, f.token, CASE cls WHEN 'identifier' THEN 'IDENTIFIER_' || (r + CASE WHEN k.pair_id IS NULL THEN 0 ELSE 1 END)
+    WHEN 'int' THEN 'INT_' || r ELSE 'FLOAT_' || r END AS placeholder
+  FROM firsts f LEFT JOIN taken k ON k.pair_id = f.pair_id
+),
+numbered AS (
+  SELECT t.pair_id, t.side, t.pos, t.token, t.cls, p.placeholder, coalesce(p.placeholder, t.token) AS normalized
+  FROM flagged t LEFT JOIN placeholders p ON t.replaced AND p.pair_id = t.pair_id AND p.cls = t.cls AND p.token = t.token
+),
+sides AS (
+  SELECT pair_id, string_agg(normalized, ' ' ORDER BY pos) FILTER (side = 'before') AS before,
+    string_agg(normalized, ' ' ORDER BY pos) FILTER (side = 'after') AS after FROM numbered GROUP BY pair_id
+)"""
+CODE_IDIOM_LIMITS = {"identifier": 5, "int": 3, "float": 2}

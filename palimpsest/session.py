@@ -67,6 +67,13 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before per-row Python work, for
+    inputs in few or unsplittable files. ``keys`` should be nearly unique."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def fits_broadcast(df: DataFrame, rows_at_most: int | None = None) -> bool:
     """Whether ``df`` is small enough to broadcast.
 
