@@ -310,3 +310,117 @@ sides AS (
     string_agg(normalized, ' ' ORDER BY pos) FILTER (side = 'after') AS after FROM numbered GROUP BY pair_id
 )"""
 CODE_IDIOM_LIMITS = {"identifier": 5, "int": 3, "float": 2}
+
+
+# ---- beams, attention, lexicon --------------------------------------------
+
+BEAM_WIDTH, BEAM_STEPS = 3, 6
+
+
+def beams(t: Tables) -> DataFrame:
+    """Six steps of three beams per event."""
+    e = F.col("example_id")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(BEAM_STEPS - 1)))
+    width = F.explode(F.sequence(F.lit(0), F.lit(BEAM_WIDTH - 1)))
+    rows = t.events.select(F.col("event_id").alias("example_id")).withColumn("step", steps).withColumn("beam", width)
+    return rows.select(
+        "example_id", F.col("step").cast("long").alias("step"), F.col("beam").cast("long").alias("beam"),
+        ((e * 7 + F.col("step") * 3 + F.col("beam") * 5) % 11).alias("token_id"),
+        ((e + F.col("step") + F.col("beam")) % BEAM_WIDTH).alias("parent"),
+        (-((e * 13 + F.col("step") * 7 + F.col("beam") * 3) % 50) / 10.0).alias("score"))
+
+
+BEAMS_SQL = """
+beams AS (
+  SELECT event_id AS example_id, s AS step, b AS beam, (event_id * 7 + s * 3 + b * 5) % 11 AS token_id, (event_id + s + b) % 3 AS parent,
+    -((event_id * 13 + s * 7 + b * 3) % 50) / 10.0::DOUBLE AS score
+  FROM events, range(6) r(s), range(3) q(b)
+)"""
+
+
+def logits(t: Tables) -> DataFrame:
+    """Five logits per beam of each event."""
+    e, b, v = (F.col(c) for c in ("example_id", "beam", "token_id"))
+    rows = t.events.select(F.col("event_id").alias("example_id"))
+    rows = rows.withColumn("beam", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    rows = rows.withColumn("token_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    return rows.withColumn("logit", ((e * 31 + b * 17 + v * 7) % 23) / 10.0)
+
+
+def beam_state(t: Tables) -> DataFrame:
+    e, b = F.col("example_id"), F.col("beam")
+    rows = t.events.select(F.col("event_id").alias("example_id"))
+    rows = rows.withColumn("beam", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    return rows.select(
+        "example_id", "beam", (-(b * 0.37) - (e % 7) * 0.01).alias("log_prob"),
+        (2 + (e + b) % 3).alias("length"), ((e + b) % 4 == 0).alias("finished"))
+
+
+LOGITS_SQL = """
+logits AS (SELECT event_id AS example_id, b AS beam, v AS token_id, ((event_id * 31 + b * 17 + v * 7) % 23) / 10.0::DOUBLE AS logit
+  FROM events, range(3) q(b), range(5) r(v)),
+state AS (SELECT event_id AS example_id, b AS beam, -(b * 0.37::DOUBLE) - (event_id % 7) * 0.01::DOUBLE AS log_prob,
+  2 + (event_id + b) % 3 AS length, (event_id + b) % 4 = 0 AS finished FROM events, range(3) q(b)),
+soft AS (SELECT *, logit - max(logit) OVER w - ln(sum(exp(logit)) OVER w / exp(max(logit) OVER w)) AS lp FROM logits
+  WINDOW w AS (PARTITION BY example_id, beam))"""
+
+
+def attention(t: Tables) -> DataFrame:
+    """A score for every target and source position of each order, with two
+    positions beyond each length."""
+    k = F.col("o_orderkey")
+    rows = t.orders.select(
+        k.alias("example_id"), (k % 3 + 3).alias("target_len"), (k % 4 + 4).alias("source_len"))
+    rows = rows.withColumn("target_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("target_len") + 1)))
+    rows = rows.withColumn("source_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("source_len") + 1)))
+    return rows.withColumn(
+        "score", ((F.col("example_id") * 31 + F.col("target_pos") * 17 + F.col("source_pos") * 7) % 11) / 11.0)
+
+
+def attended_sources(t: Tables) -> DataFrame:
+    k, s = F.col("example_id"), F.col("source_pos")
+    rows = t.orders.select(F.col("o_orderkey").alias("example_id"))
+    rows = rows.withColumn("source_pos", F.explode(F.sequence(F.lit(0).cast("long"), k % 4 + 3)))
+    return rows.withColumn("source_token", F.when(s == k % 4 + 3, "SEQUENCE_END").otherwise(
+        F.concat(F.lit("s"), ((k + s * 3) % 40).cast("string"))))
+
+
+def attended_predictions(t: Tables) -> DataFrame:
+    k, p = F.col("example_id"), F.col("target_pos")
+    rows = t.orders.select(F.col("o_orderkey").alias("example_id"))
+    rows = rows.withColumn("target_pos", F.explode(F.sequence(F.lit(0).cast("long"), k % 3 + 2)))
+    return rows.withColumn("token", F.when((k + p) % 3 == 0, "UNK").otherwise(
+        F.concat(F.lit("t"), ((k + p) % 50).cast("string"))))
+
+
+ATTENTION_SQL = """
+att AS (SELECT o_orderkey AS example_id, o_orderkey % 3 + 3 AS target_len, o_orderkey % 4 + 4 AS source_len, t AS target_pos, s AS source_pos,
+  ((o_orderkey * 31 + t * 17 + s * 7) % 11) / 11.0::DOUBLE AS score
+  FROM (SELECT o_orderkey, t, unnest(range(o_orderkey % 4 + 6)) AS s FROM (SELECT o_orderkey, unnest(range(o_orderkey % 3 + 5)) AS t FROM orders))),
+src AS (SELECT k AS example_id, s AS source_pos, CASE WHEN s = k % 4 + 3 THEN 'SEQUENCE_END' ELSE 's' || (k + s * 3) % 40 END AS source_token
+  FROM (SELECT o_orderkey AS k, unnest(range(o_orderkey % 4 + 4)) AS s FROM orders)),
+pred AS (SELECT k AS example_id, t AS target_pos, CASE WHEN (k + t) % 3 = 0 THEN 'UNK' ELSE 't' || (k + t) % 50 END AS token
+  FROM (SELECT o_orderkey AS k, unnest(range(o_orderkey % 3 + 3)) AS t FROM orders)),
+best AS (SELECT example_id, target_pos, source_pos FROM att WHERE source_pos < source_len - 1
+  QUALIFY row_number() OVER (PARTITION BY example_id, target_pos ORDER BY score DESC, source_pos) = 1)"""
+
+
+# ---- vectors and action sequences -----------------------------------------
+
+def vectors(t: Tables) -> DataFrame:
+    return t.embeddings.select(
+        F.col("vec_id").alias("id"), F.col("label").cast("long").alias("cluster"),
+        F.col("embedding").cast("array<double>").alias("vector"))
+
+
+VECTORS_SQL = """
+vectors AS (SELECT vec_id AS id, label::BIGINT AS cluster, embedding::DOUBLE[] AS vector FROM embeddings)"""
+
+
+def pair_tokens(t: Tables) -> DataFrame:
+    """The two texts of each pair as a token table."""
+    sides = F.explode(F.array(
+        F.struct(F.lit("before").alias("side"), words("source").alias("w")),
+        F.struct(F.lit("after").alias("side"), words("target").alias("w"))))
+    return pairs(t).select("pair_id", sides.alias("s")).select(
+        "pair_id", "s.side", F.posexplode("s.w").alias("pos", "token"))
