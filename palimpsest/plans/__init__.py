@@ -6,7 +6,7 @@ from importlib import import_module
 
 from palimpsest.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("text", "metrics", "mining", "code", "beams", "vectors")
+_MODULES = ("text", "metrics", "mining", "code", "beams", "vectors", "io")
 
 
 def _load() -> None:

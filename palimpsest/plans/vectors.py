@@ -91,9 +91,8 @@ def mean_silhouette(t):
 @query("squared_silhouette", f"""{_W}{_SIL.format(dist="pow(list_distance(a.vector, b.vector), 2)")}
 SELECT round(avg(silhouette), 6) AS silhouette FROM s""")
 def squared_silhouette(t):
-    v = vectors(t)
-    score = ml.squared_silhouette(v)
-    return v.limit(1).select(F.round(F.lit(score), 6).alias("silhouette"))
+    score = ml.squared_silhouette(vectors(t))
+    return t.spark.range(1).select(F.round(F.lit(score), 6).alias("silhouette"))
 
 
 @query("nearest_centroid", f"""{_W}, u AS (SELECT cluster, unnest(vector) AS x, unnest(range(len(vector))) AS i FROM vectors),
