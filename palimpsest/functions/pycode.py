@@ -26,6 +26,12 @@ _BLOCKS = ("body", "orelse", "finalbody")
 _UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
+def _kernel(fn, result: str):
+    """An Arrow-batched function Spark must not evaluate twice: declared
+    non-deterministic, it is neither copied into inferred filters nor moved."""
+    return F.arrow_udf(fn, result).asNondeterministic()
+
+
 def _parse(text: str):
     """``(tree, None)`` or ``(None, reason)``."""
     try:
@@ -120,7 +126,7 @@ def _functions_batch(text: pa.Array) -> pa.Array:
 
 def functions_of(text: Column | str) -> Column:
     """``struct<error, functions: array<struct<name, code>>, skipped>``."""
-    kernel = F.arrow_udf(
+    kernel = _kernel(
         _functions_batch,
         "error string, functions array<struct<name:string,code:string>>, skipped int",
     )
@@ -278,7 +284,7 @@ def tokens_of(
             [_tokens_of(c, max_tokens, keep_nl) for c in codes.to_pylist()], _TOKENS_TYPE
         )
 
-    kernel = F.arrow_udf(
+    kernel = _kernel(
         batch,
         "error string, tokens array<struct<token:string,cls:string,value:string,"
         "visit:int,gap:int>>",
@@ -334,7 +340,7 @@ def _values_batch(text: pa.Array) -> pa.Array:
 
 def values_of(text: Column | str) -> Column:
     """``struct<error, items: array<struct<cls, value>>>`` of a whole file."""
-    kernel = F.arrow_udf(
+    kernel = _kernel(
         _values_batch, "error string, items array<struct<cls:string,value:string>>"
     )
     return kernel(strip_nul(text))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.rows import element_rows
 from palimpsest.functions.text import stable_hash
 from palimpsest.operators.ordering import with_group_index
 from palimpsest.session import dictionary_join
@@ -123,6 +124,6 @@ def toy_pairs(
 
 def unbatch(df: DataFrame, arrays: list[str], *keep: str) -> DataFrame:
     """Rows of a struct-of-arrays batch."""
-    return df.select(*keep, F.posexplode(F.arrays_zip(*arrays)).alias("slot", "_r")).select(
+    return element_rows(df, F.arrays_zip(*arrays), "_r", *keep, pos="slot").select(
         *keep, "slot", *[F.col(f"_r.{a}").alias(a) for a in arrays]
     )

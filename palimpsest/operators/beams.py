@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.rows import element_rows
 from palimpsest.functions.scores import length_penalty
 from palimpsest.functions.text import BEAM_SEPARATOR, UNK
 from palimpsest.session import dictionary_join
@@ -114,7 +115,7 @@ def gather_tree(beams: DataFrame) -> DataFrame:
 
 def path_rows(paths: DataFrame) -> DataFrame:
     """Long form of :func:`gather_tree`: example_id, beam, step, token_id."""
-    return paths.select("example_id", "beam", F.posexplode("path").alias("step", "token_id"))
+    return element_rows(paths, "path", "token_id", "example_id", "beam", pos="step")
 
 
 def first_beam(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.rows import element_rows
 from palimpsest.functions.scores import brevity_penalty, ratio, safe_log
 from palimpsest.functions.text import empty_strings, words
 from palimpsest.operators.ordering import with_running_sums
@@ -43,9 +44,10 @@ def ngram_rows(df: DataFrame, tokens: Column | str, *keep: str, max_order: int =
             for n in range(1, max_order + 1)
         ]
     )
-    return df.select(*keep, F.explode(by_order).alias("g")).select(
-        *keep, F.col("g.n").alias("n"), F.explode("g.grams").alias("ngram")
+    orders = element_rows(df, by_order, "g", *keep).select(
+        *keep, F.col("g.n").alias("n"), F.col("g.grams").alias("_grams")
     )
+    return element_rows(orders, "_grams", "ngram", *keep, "n")
 
 
 def clipped_matches(hyp: Column, refs: list[Column]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.pycode import functions_of, tokens_of, values_of
+from palimpsest.functions.rows import element_rows
 from palimpsest.functions.text import one_line
 
 # Fixed value: the longest side of a kept pair.
@@ -15,7 +16,7 @@ MAX_TOKENS = 50
 def function_table(files: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per function of each readable file: ``name``, ``code``."""
     rows = files.select(*keep, functions_of(text).alias("f"))
-    return rows.select(*keep, F.explode("f.functions").alias("x")).select(*keep, "x.name", "x.code")
+    return element_rows(rows, "f.functions", "x", *keep).select(*keep, "x.name", "x.code")
 
 
 def unreadable_files(files: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -40,7 +41,9 @@ def pair_functions(changes: DataFrame, *keep: str) -> DataFrame:
     unreadable side is dropped whole.
     """
     sides = _both_sides(changes, *keep)
-    rows = sides.select(*keep, F.explode("b.functions").alias("x"), F.col("a.functions").alias("_fs"))
+    rows = element_rows(
+        sides.withColumn("_fs", F.col("a.functions")), "b.functions", "x", *keep, "_fs"
+    )
     match = F.get(F.filter("_fs", lambda f: f["name"] == F.col("x.name")), F.lit(0))
     return (
         rows.select(
@@ -75,7 +78,7 @@ def token_table(
     """One row per token: ``pos``, ``token``, ``cls``, ``value``, ``visit``, ``gap``."""
     tokens = tokens_of(code, max_tokens, keep_nl)
     out = rows.select(*keep, tokens.alias("t"))
-    return out.select(*keep, F.posexplode("t.tokens").alias("pos", "x")).select(*keep, "pos", "x.*")
+    return element_rows(out, "t.tokens", "x", *keep, pos="pos").select(*keep, "pos", "x.*")
 
 
 def one_line_code(code: Column | str, max_tokens: int | None = None) -> Column:
@@ -104,7 +107,7 @@ def within_ceiling(tokens: Column | str, limit: int = MAX_TOKENS) -> Column:
 def identifier_and_literal_rows(files: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per identifier or literal occurrence of each readable file."""
     rows = files.select(*keep, values_of(text).alias("v"))
-    return rows.select(*keep, F.explode("v.items").alias("x")).select(*keep, "x.cls", "x.value")
+    return element_rows(rows, "v.items", "x", *keep).select(*keep, "x.cls", "x.value")
 
 
 def first_definitions(df: DataFrame, keys: list[str], pos: str) -> DataFrame:

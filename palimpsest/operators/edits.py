@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.rows import element_rows
+
 # Action labels.
 INSERT, DELETE, UPDATE, MOVE = "insert-node", "delete-node", "update-node", "move-tree"
 
@@ -75,7 +77,7 @@ def change_size(lines: DataFrame, before: str, after: str) -> Column:
 def action_histogram(sequences: DataFrame, *by: str) -> DataFrame:
     """Counts per action (of each group)."""
     return (
-        sequences.select(*by, F.explode("edit_actions").alias("action"))
+        element_rows(sequences, "edit_actions", "action", *by)
         .groupBy(*by, "action")
         .count()
     )

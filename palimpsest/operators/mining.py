@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions.rows import element_rows
+
 # Fixed values of the mining rules.
 FIX_SUBJECT = "bug|fix|issue|error"
 PYTHON_PATH = "%.py"
@@ -75,7 +77,10 @@ def file_changes(commits: DataFrame, max_files: int = MAX_CHANGED_FILES) -> Data
         F.element_at("parent", 1).alias("commit_before"),
         F.col("commit").alias("commit_after"),
         *keep,
-        F.posexplode("difference").alias("diff_index", "d"),
+        "difference",
+    )
+    rows = element_rows(
+        rows, "difference", "d", "repositories", "commit_before", "commit_after", *keep, pos="diff_index"
     )
     return rows.filter(file_drop_reason(F.col("d")).isNull()).select(
         "repositories",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.rows import element_rows
 from palimpsest.functions.text import UNK
 from palimpsest.operators.ordering import with_index
 from palimpsest.session import BROADCAST_ROWS, dictionary_join
@@ -19,7 +20,7 @@ SPECIALS = ("UNK", "SEQUENCE_START", "SEQUENCE_END")
 def token_rows(df: DataFrame, tokens: Column | str, *keep: str) -> DataFrame:
     """One row per token with its position."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    return df.select(*keep, F.posexplode(tokens).alias("pos", "token"))
+    return element_rows(df, tokens, "token", *keep, pos="pos")
 
 
 def token_counts(
@@ -27,7 +28,7 @@ def token_counts(
 ) -> DataFrame:
     """``(token, count)``; a positive threshold keeps strictly greater counts."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").count()
+    counts = element_rows(df, tokens, "token").groupBy("token").count()
     return counts.filter(F.col("count") > min_frequency) if min_frequency > 0 else counts
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.rows import element_rows
 from palimpsest.functions.text import one_line, words
 from palimpsest.plans.registry import Tables
 from palimpsest.session import spread
@@ -18,7 +19,7 @@ from palimpsest.session import spread
 
 def pairs(t: Tables) -> DataFrame:
     """User turn and the assistant turn after it: ``(pair_id, source, target)``."""
-    c = t.conversations
+    c = spread(t.conversations, "conv_id", "turn")
     user = c.filter(F.col("role") == "user").select(
         "conv_id", "turn", one_line("text").alias("source")
     )
@@ -65,7 +66,8 @@ predictions AS (
 # ---- documents as tokens --------------------------------------------------
 
 def document_tokens(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", words("text").alias("tokens"))
+    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", words("text").alias("tokens"))
 
 
 DOC_TOKENS_SQL = """
@@ -107,7 +109,7 @@ def commits(t: Tables) -> DataFrame:
             F.when((key + i) % 11 != 5, "100644").alias("new_mode"),
         )
 
-    return t.orders.select(
+    return spread(t.orders, "o_orderkey").select(
         F.concat(F.lit("c"), key.cast("string")).alias("commit"),
         subject.alias("subject"),
         F.when(cust % 101 == 0, F.array().cast("array<string>"))
@@ -255,7 +257,7 @@ def code_tokens(t: Tables) -> DataFrame:
         F.struct(F.lit("before").alias("side"), tokens(quantity, tax).alias("w")),
         F.struct(F.lit("after").alias("side"), tokens(line, func).alias("w"))))
     rows = named.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), sides.alias("s"))
-    rows = rows.select("pair_id", "s.side", F.posexplode("s.w").alias("pos", "token"))
+    rows = element_rows(rows.select("pair_id", "s.*"), "w", "token", "pair_id", "side", pos="pos")
     marker = F.col("token").startswith("$")
     return rows.withColumns({
         "cls": F.when(~marker, literal_class("token")), "value": F.col("token"),
@@ -322,7 +324,8 @@ def beams(t: Tables) -> DataFrame:
     e = F.col("example_id")
     steps = F.explode(F.sequence(F.lit(0), F.lit(BEAM_STEPS - 1)))
     width = F.explode(F.sequence(F.lit(0), F.lit(BEAM_WIDTH - 1)))
-    rows = t.events.select(F.col("event_id").alias("example_id")).withColumn("step", steps).withColumn("beam", width)
+    ids = spread(t.events.select("event_id"), "event_id")
+    rows = ids.select(F.col("event_id").alias("example_id")).withColumn("step", steps).withColumn("beam", width)
     return rows.select(
         "example_id", F.col("step").cast("long").alias("step"), F.col("beam").cast("long").alias("beam"),
         ((e * 7 + F.col("step") * 3 + F.col("beam") * 5) % 11).alias("token_id"),
@@ -341,7 +344,7 @@ beams AS (
 def logits(t: Tables) -> DataFrame:
     """Five logits per beam of each event."""
     e, b, v = (F.col(c) for c in ("example_id", "beam", "token_id"))
-    rows = t.events.select(F.col("event_id").alias("example_id"))
+    rows = spread(t.events.select(F.col("event_id").alias("example_id")), "example_id")
     rows = rows.withColumn("beam", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     rows = rows.withColumn("token_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     return rows.withColumn("logit", ((e * 31 + b * 17 + v * 7) % 23) / 10.0)
@@ -349,7 +352,7 @@ def logits(t: Tables) -> DataFrame:
 
 def beam_state(t: Tables) -> DataFrame:
     e, b = F.col("example_id"), F.col("beam")
-    rows = t.events.select(F.col("event_id").alias("example_id"))
+    rows = spread(t.events.select(F.col("event_id").alias("example_id")), "example_id")
     rows = rows.withColumn("beam", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     return rows.select(
         "example_id", "beam", (-(b * 0.37) - (e % 7) * 0.01).alias("log_prob"),

@@ -67,11 +67,17 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all shuffle partitions before per-row Python work, for
-    inputs in few or unsplittable files. ``keys`` should be nearly unique."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows of a scan over the cores if its files make fewer tasks
+    than there are cores (few or unsplittable files before heavy work per row).
+
+    A scan that already has a task per core is returned as it is, so a large
+    input is not shuffled. ``keys`` should be nearly unique.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
 
 
 def fits_broadcast(df: DataFrame, rows_at_most: int | None = None) -> bool:
