@@ -98,9 +98,11 @@ def pluggable_metric_bpe(t):
     return _rounded(metric.bleu_metric(tx.strip_bpe).corpus(broken, "hyp", "target"))
 
 
-@query("ngram_counts", f"""WITH {DOC_TOKENS_SQL}, a AS (SELECT doc_id, list(token ORDER BY pos) AS w FROM doc_tokens GROUP BY doc_id),
-g AS (SELECT n, array_to_string(w[i:i + n - 1], ' ') AS ngram FROM (
-  SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM a, (VALUES (1), (2), (3), (4)) o(n) WHERE len(w) >= n))
+@query("ngram_counts", f"""WITH {DOC_TOKENS_SQL}, w AS (SELECT token AS a, lead(token, 1) OVER o AS b, lead(token, 2) OVER o AS c, lead(token, 3) OVER o AS d
+  FROM doc_tokens WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT 1 AS n, a AS ngram FROM w UNION ALL SELECT 2, a || ' ' || b FROM w WHERE b IS NOT NULL
+  UNION ALL SELECT 3, a || ' ' || b || ' ' || c FROM w WHERE c IS NOT NULL
+  UNION ALL SELECT 4, a || ' ' || b || ' ' || c || ' ' || d FROM w WHERE d IS NOT NULL)
 SELECT n, count(*) AS occurrences, count(DISTINCT ngram) AS distinct_ngrams FROM g GROUP BY n""")
 def ngram_counts(t):
     rows = bleu.ngram_rows(document_tokens(t), "tokens", "doc_id")
