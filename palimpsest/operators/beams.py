@@ -74,8 +74,9 @@ def beam_step(
     )
     rank = F.row_number().over(Window.partitionBy("example_id").orderBy(*successors()))
     return (
-        candidates.withColumn("beam", rank - 1)
-        .filter(F.col("beam") < width)
+        candidates.withColumn("_rank", rank)
+        .filter(F.col("_rank") <= width)
+        .withColumn("beam", F.col("_rank") - 1)
         .select("example_id", "beam", "token_id", "parent", "score", "log_prob", "length", "finished")
     )
 

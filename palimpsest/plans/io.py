@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as tx
 from palimpsest.operators import abstraction as A
 from palimpsest.operators import metric
+from palimpsest.operators.beams import cut_attention
 from palimpsest.operators.mining import file_changes
 from palimpsest.operators.vocab import build_vocab
 from palimpsest.plans import beams as beam_plans
@@ -16,8 +17,8 @@ from palimpsest.plans import metrics as metric_plans
 from palimpsest.plans import text as text_plans
 from palimpsest.plans.registry import query
 from palimpsest.plans.views import (
-    BEAMS_SQL, CODE_TOKENS_SQL, COMMITS_SQL, PAIRS_SQL, PREDICTIONS_SQL, VECTORS_SQL, beams, commits, pairs,
-    predictions, vectors,
+    ATTENTION_SQL, BEAMS_SQL, CODE_TOKENS_SQL, COMMITS_SQL, PAIRS_SQL, PREDICTIONS_SQL, VECTORS_SQL, attention,
+    beams, commits, pairs, predictions, vectors,
 )
 from palimpsest.session import materialize, scratch_path
 from palimpsest.sources import lines as L
@@ -165,6 +166,14 @@ def beam_dump(t):
     return t.spark.read.parquet(path)
 
 
+@query("attention_dump", f"WITH {ATTENTION_SQL} SELECT example_id, target_pos, source_pos, score FROM att WHERE target_pos < target_len AND source_pos < source_len")
+def attention_dump(t):
+    path = scratch_path(t.spark, "attention-dump")
+    cut = cut_attention(attention(t))
+    S.write_array_dump(cut.select("example_id", "target_pos", "source_pos", "score"), path)
+    return t.spark.read.parquet(path)
+
+
 @query("embedding_dump", f"WITH {VECTORS_SQL} SELECT id, unnest(range(len(vector))) AS dim, unnest(vector) AS value FROM vectors")
 def embedding_dump(t):
     path = scratch_path(t.spark, "embedding-dump")
