@@ -14,6 +14,7 @@ from palimpsest.functions.rows import element_rows
 from palimpsest.functions.scores import brevity_penalty, ratio, safe_log
 from palimpsest.functions.text import empty_strings, words
 from palimpsest.operators.ordering import with_running_sums
+from palimpsest.session import materialize
 
 MAX_ORDER = 4
 COUNTS = [
@@ -148,8 +149,13 @@ def running_bleu(
     df: DataFrame, key: str, hyp: str, refs: list[str], lowercase: bool = False
 ) -> DataFrame:
     """BLEU over everything up to and including each pair, in key order."""
-    counts = pair_counts(df, hyp, refs, lowercase).select(
-        key, *[F.col(c).alias(f"_{c}") for c in COUNTS]
+    # Written first: range partitioning samples its input, which would count
+    # every pair twice.
+    counts = materialize(
+        pair_counts(df, hyp, refs, lowercase).select(
+            key, *[F.col(c).alias(f"_{c}") for c in COUNTS]
+        ),
+        "pair-counts",
     )
     sums = with_running_sums(counts, [F.col(key)], {c: f"_{c}" for c in COUNTS})
     return sums.select(key, *bleu_score())

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.scores import ratio
 from palimpsest.operators import bleu, rouge
 from palimpsest.operators.ordering import with_running_sums
+from palimpsest.session import materialize
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,9 @@ class TextMetric:
 
     def running(self, df: DataFrame, key: str, hyp: str, ref: str) -> DataFrame:
         """Value over all pairs up to each one, in key order."""
-        rows = self._scored(df, hyp, ref).select(
-            key, *[F.col(c).alias(f"_{c}") for c in self.sums]
+        rows = materialize(
+            self._scored(df, hyp, ref).select(key, *[F.col(c).alias(f"_{c}") for c in self.sums]),
+            "pair-scores",
         )
         sums = with_running_sums(rows, [F.col(key)], {c: f"_{c}" for c in self.sums})
         return sums.select(key, *self.close())
