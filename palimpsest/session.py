@@ -16,6 +16,10 @@ SALTS = 16
 
 _SHARED_KEY = "spark.checkpoint.dir"
 
+# Folders of local sessions that name none, by application; the setting itself
+# cannot be changed in a running session.
+_OWN_DIRS: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and benches; on a cluster use the one given."""
@@ -46,8 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "local")
         if not master.startswith("local"):
             raise ValueError(f"{_SHARED_KEY} must name a folder all executors share")
-        named = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set(_SHARED_KEY, named)
+        key = spark.sparkContext.applicationId
+        if key not in _OWN_DIRS:
+            _OWN_DIRS[key] = tempfile.mkdtemp(prefix="palimpsest-")
+        named = _OWN_DIRS[key]
     return named.rstrip("/")
 
 
