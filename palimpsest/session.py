@@ -70,7 +70,18 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stage_path = path
+    return stored
+
+
+def discard(*stages: DataFrame) -> None:
+    """Remove the files of tables from ``materialize`` that nothing reads any
+    more: neither they nor a frame derived from them may be used again."""
+    for stage in stages:
+        spark = stage.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(stage.stage_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
