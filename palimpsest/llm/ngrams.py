@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels
+from palimpsest.session import fits_broadcast
 
 # From the texts of a group: bucket numbers, and the text each belongs to.
 Features = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -52,8 +53,11 @@ def parts(good: DataFrame) -> DataFrame:
 def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
     """``text, good`` of every document, ``good`` being 0 where it has no row.
 
-    ``good`` has unique ids. The join is left to Spark, which splits hot ids.
+    ``good`` has unique ids. Up to the counted limit of rows (two numbers each)
+    it is broadcast; beyond it the join shuffles, and Spark splits hot ids.
     """
+    if fits_broadcast(good):
+        good = F.broadcast(good)
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
