@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import Encoder, default_path
+from palimpsest.llm.tokens import default_path, encoder
 from palimpsest.session import scratch_path
 
 _MAGIC = b"DAC1"
@@ -151,7 +151,7 @@ def write(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(model), TaskContext.get().partitionId()
+        encode_text, part = encoder(model).encode, TaskContext.get().partitionId()
         nth = before = held = 0
         ids: list[int | None] = []
         texts: list[bytes] = []
@@ -168,7 +168,7 @@ def write(
                 batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True
             ):
                 ids.append(doc_id)
-                texts.append(encoder.encode(text) + end)
+                texts.append(encode_text(text) + end)
                 held += len(texts[-1])
                 if held >= 4 * segment_tokens:
                     yield segment()

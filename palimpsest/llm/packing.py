@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import Encoder, default_path
+from palimpsest.llm.tokens import default_path, encoder
 from palimpsest.session import materialize
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -87,14 +87,14 @@ def pieces(docs: DataFrame, settings: Settings | None = None, with_ids: bool = F
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             found: list[tuple] = []
             held = 0
             for doc_id, text in zip(
                 batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True
             ):
-                ids = encoder.encode(text) + end
+                ids = encode(text) + end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     row = (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)
