@@ -7,8 +7,8 @@ page. Two things stay although shared. Paragraphs inside the page's own article
 element, since a passage may be published twice; and the lines of a page whose
 neighbours are copies of it, where only link-like shared lines go.
 
-Only line hashes are sorted and compared; texts are shuffled once, to meet the
-verdict on their lines. A host that holds a third of all pages is sorted over
+Only line hashes are sorted and compared; texts are shuffled once at most, to
+meet the verdict on their lines (counted few verdicts are broadcast). A host that holds a third of all pages is sorted over
 many tasks, and neighbours across the border of two tasks are found through a
 table with one row per task.
 """
@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import markup
 from palimpsest.llm.urls import host, path
-from palimpsest.session import materialize
+from palimpsest.session import BROADCAST_ROWS, materialize
 
 # Of a page's characters, the part that must be its own for a neighbour to
 # count as another page.
 OWN_SHARE = 0.1
 
+# Verdicts that are sent to every task have at most so many lines together.
+BROADCAST_LINES = 16_000_000
+
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
     """Places in ``a`` of one longest common subsequence with ``b``.
@@ -132,7 +135,6 @@ def _neighbours(lines: DataFrame) -> DataFrame:
     """``key, lines, near, far``: the lines of the two neighbouring pages of
     the host, the one with the longer common path prefix first."""
     rows = lines.select("key", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "lines")
-    # Copies of a page say nothing about it: one row for each host and lines.
     marked = rows.orderBy("host", "path", "key").withColumn("_mid", F.monotonically_increasing_id())
     sorted_ = materialize(marked, "pages").withColumn("_part", F.shiftright("_mid", 33))
     side = F.struct("host", "path", "lines")
@@ -199,12 +201,18 @@ def main_text(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "key", "lines"],
             )
 
-    verdicts = materialize(_verdicts(_neighbours(_line_hashes(keyed).dropDuplicates(["key"]))), "verdicts")
+    lines = _line_hashes(keyed).dropDuplicates(["key"])
+    # Most pages lose no line; only the others need to meet their verdict.
+    cut = F.exists("kept", lambda stays: ~stays)
+    verdicts = materialize(_verdicts(_neighbours(lines)).filter(cut), "verdicts")
+    found = verdicts.agg(F.count("*").alias("n"), F.sum(F.size("kept")).alias("lines")).first()
+    if found["n"] <= BROADCAST_ROWS and (found["lines"] or 0) <= BROADCAST_LINES:
+        verdicts = F.broadcast(verdicts)
     texts = keyed.mapInArrow(run, "page_id long, url string, key binary, lines array<string>")
     kept = F.filter("lines", lambda _, i: F.get("kept", i))
-    text = F.array_join(kept, "\n")
+    text = F.array_join(F.when(F.col("kept").isNull(), F.col("lines")).otherwise(kept), "\n")
     return (
-        texts.join(verdicts, "key")
+        texts.join(verdicts, "key", "left")
         .select("page_id", "url", text.alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )
