@@ -1,7 +1,7 @@
 """Main text by differencing a page with its nearest page.
 
-Pages of a host are sorted by URL path and paired with the neighbour that
-shares the longer path prefix. The lines of both are aligned by a longest
+Different pages of a host (copies count once) are sorted by URL path and paired
+with the neighbour that shares the longer path prefix. The lines of both are aligned by a longest
 common subsequence, and shared lines go: they belong to the site, not to the
 page. Two things stay although shared. Paragraphs inside the page's own article
 element, since a passage may be published twice; and the lines of a page whose
@@ -94,48 +94,56 @@ def _prefix(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1)
 
 
-def _keyed(pages: DataFrame) -> DataFrame:
-    """Rows with a key of their whole content; equal rows share it."""
-    columns = [F.col(c).cast(t) for c, t in (("page_id", "long"), ("url", "string"), ("html", "string"))]
-    whole = F.md5(F.to_json(F.struct(columns[0], columns[1], F.md5(F.coalesce(columns[2], F.lit(""))).alias("h"))))
-    return pages.select(
-        *[c.alias(n) for c, n in zip(columns, ("page_id", "url", "html"), strict=True)],
-        F.unhex(whole).alias("key"),
-    )
+def _content_key(host_: str, found: list[markup.Line]) -> bytes:
+    """Stands for a host and all lines of a page; copies on a host share it."""
+    import hashlib
+
+    whole = "\n".join([host_, *(f"{x.prose:d}{x.text}" for x in found)])
+    return hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _line_hashes(keyed: DataFrame) -> DataFrame:
+def _line_hashes(pages: DataFrame) -> DataFrame:
+    """``key, host, path, lines`` of every content once, by its least path."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        kind = pa.list_(
+            pa.struct([("hash", pa.int64()), ("chars", pa.int32()), ("prose", pa.bool_()), ("weak", pa.bool_())])
+        )
         for batch in batches:
-            rows = [
-                [
-                    {
-                        "hash": xxhash.xxh64_intdigest(x.text) - (1 << 63),
-                        "chars": len(x.text),
-                        "prose": x.prose,
-                        "weak": x.weak,
-                    }
-                    for x in markup.lines(html)
-                ]
-                for html in batch.column("html").to_pylist()
-            ]
-            kind = pa.list_(
-                pa.struct([("hash", pa.int64()), ("chars", pa.int32()), ("prose", pa.bool_()), ("weak", pa.bool_())])
-            )
+            keys, rows = [], []
+            for at, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                found = markup.lines(html)
+                keys.append(_content_key(at, found))
+                rows.append(
+                    [
+                        {
+                            "hash": xxhash.xxh64_intdigest(x.text) - (1 << 63),
+                            "chars": len(x.text),
+                            "prose": x.prose,
+                            "weak": x.weak,
+                        }
+                        for x in found
+                    ]
+                )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("url"), pa.array(rows, kind)], ["key", "url", "lines"]
+                [pa.array(keys, pa.binary()), batch.column("host"), batch.column("path"), pa.array(rows, kind)],
+                ["key", "host", "path", "lines"],
             )
 
-    return keyed.select("key", "url", "html").mapInArrow(run, f"key binary, url string, lines {_LINE}")
+    found = pages.select("host", path(F.col("url")).alias("path"), "html").mapInArrow(
+        run, f"key binary, host string, path string, lines {_LINE}"
+    )
+    return found.groupBy("key").agg(
+        F.min("path").alias("path"), F.first("host").alias("host"), F.first("lines").alias("lines")
+    )
 
 
 def _neighbours(lines: DataFrame) -> DataFrame:
     """``key, lines, near, far``: the lines of the two neighbouring pages of
     the host, the one with the longer common path prefix first."""
-    rows = lines.select("key", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "lines")
-    marked = rows.orderBy("host", "path", "key").withColumn("_mid", F.monotonically_increasing_id())
+    marked = lines.orderBy("host", "path", "key").withColumn("_mid", F.monotonically_increasing_id())
     sorted_ = materialize(marked, "pages").withColumn("_part", F.shiftright("_mid", 33))
     side = F.struct("host", "path", "lines")
     ends = sorted_.groupBy("_part").agg(
@@ -186,29 +194,36 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
     ``text`` joins the kept lines by one line feed; it is empty for a null or
-    empty page and for one without main text. A page whose url has no host is
-    paired with others of that kind. Equal rows get equal texts; ids and urls
+    empty page and for one without main text. Pages whose url has no host are
+    paired with each other. Copies on a host get the same text; ids and urls
     may be null or repeat. An empty table gives no row.
     """
-    keyed = _keyed(pages)
+    named = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.col("html").cast("string").alias("html"),
+    ).withColumn("host", host(F.col("url")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [[x.text for x in markup.lines(h)] for h in batch.column("html").to_pylist()]
+            found = [markup.lines(h) for h in batch.column("html").to_pylist()]
+            hosts = batch.column("host").to_pylist()
+            keys = [_content_key(at, x) for at, x in zip(hosts, found, strict=True)]
+            texts = [[x.text for x in page] for page in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("page_id", "url", "key")]
+                [batch.column("page_id"), batch.column("url"), pa.array(keys, pa.binary())]
                 + [pa.array(texts, pa.list_(pa.string()))],
                 ["page_id", "url", "key", "lines"],
             )
 
-    lines = _line_hashes(keyed).dropDuplicates(["key"])
+    lines = _line_hashes(named)
     # Most pages lose no line; only the others need to meet their verdict.
     cut = F.exists("kept", lambda stays: ~stays)
     verdicts = materialize(_verdicts(_neighbours(lines)).filter(cut), "verdicts")
     found = verdicts.agg(F.count("*").alias("n"), F.sum(F.size("kept")).alias("lines")).first()
     if found["n"] <= BROADCAST_ROWS and (found["lines"] or 0) <= BROADCAST_LINES:
         verdicts = F.broadcast(verdicts)
-    texts = keyed.mapInArrow(run, "page_id long, url string, key binary, lines array<string>")
+    texts = named.mapInArrow(run, "page_id long, url string, key binary, lines array<string>")
     kept = F.filter("lines", lambda _, i: F.get("kept", i))
     text = F.array_join(F.when(F.col("kept").isNull(), F.col("lines")).otherwise(kept), "\n")
     return (
