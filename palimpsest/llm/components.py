@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import materialize
+from palimpsest.session import discard, materialize
+
+ONE_TASK_EDGES = 100_000
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -50,8 +55,12 @@ def components(edges: DataFrame) -> DataFrame:
     )
     now = materialize(edges.distinct(), "edges")
     before = _state(now)
-    while before[0]:
-        now = materialize(_small_star(_large_star(now)), "edges")
+    if before[0] <= ONE_TASK_EDGES:
+        return now.coalesce(1).mapInArrow(_joined, "id long, root long")
+    while True:
+        after_step = materialize(_small_star(_large_star(now)), "edges")
+        discard(now)
+        now = after_step
         after = _state(now)
         if after == before:
             break
@@ -59,3 +68,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     )
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All of a counted few edges, joined in one task."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], ["id", "root"]
+    )

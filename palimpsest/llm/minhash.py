@@ -9,8 +9,9 @@ similarity. A text needs about ``k ln k + 2k`` darts, however long it is.
 
 Signatures are cut into bands. Texts that share a band are compared with one
 leader of the band's bucket, by exact weighted Jaccard of their shingles;
-buckets whose members still lie in several classes are dealt again with other
-leaders until a round finds no new link.
+buckets whose members still lie in several classes are dealt again with a few
+other leaders, until a round finds no new link. Every round is linear in the
+members of the buckets that are left.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm import kernels
 from palimpsest.llm.common import text_key
 from palimpsest.llm.components import components
-from palimpsest.session import materialize
+from palimpsest.session import discard, fits_broadcast, materialize
+
+LEADERS = 8  # of a bucket, in every round but the first
 
 _LOWEST = -12  # ranks below 2 ** _LOWEST are one level
 _SEED = np.uint64(0xD1B54A32D192ED03)
@@ -36,13 +39,15 @@ _SEED = np.uint64(0xD1B54A32D192ED03)
 @dataclass(frozen=True)
 class Settings:
     """``bands * rows`` coordinates. At similarity 0.8 a pair misses all 30
-    bands of 5 with probability 7e-6. ``weighting`` is "set" (every distinct
+    bands of 5 with probability 7e-6. Texts that share a band are told apart by
+    a second signature of ``marks`` (even) coordinates first. ``weighting`` is "set" (every distinct
     shingle weighs 1) or "count" (its occurrences)."""
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 30
     rows: int = 5
+    marks: int = 600
     weighting: str = "set"
 
     @property
@@ -70,9 +75,11 @@ def _throw(elements: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np
     return owner, dart, low + (high - low) * kernels.unit(dart)
 
 
-def signatures(texts: list[bytes], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """A ``len(texts) x coordinates`` array, and whether a text has words."""
-    k, n = settings.coordinates, len(texts)
+def signatures(
+    texts: list[bytes], settings: Settings, coordinates: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """A ``len(texts) x coordinates`` array, and each text's shingle weight."""
+    k, n = coordinates or settings.coordinates, len(texts)
     text, element, count = kernels.shingles(texts, settings.words)
     weight = np.ones_like(count) if settings.weighting == "set" else count
     strip = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
@@ -98,7 +105,7 @@ def signatures(texts: list[bytes], settings: Settings) -> tuple[np.ndarray, np.n
         level += 1
         full = np.isfinite(best.reshape(n, k)).all(axis=1)
         active &= (level <= enough) | ~full
-    return signature.reshape(n, k), used
+    return signature.reshape(n, k), total
 
 
 def _band_hashes(signature: np.ndarray, settings: Settings) -> np.ndarray:
@@ -116,16 +123,34 @@ def _banded(rows: DataFrame, settings: Settings) -> DataFrame:
         for batch in batches:
             texts = kernels.as_bytes(batch.column("text"))
             for lo, hi in kernels.groups(texts):
-                signature, used = signatures(texts[lo:hi], settings)
+                signature, weight = signatures(texts[lo:hi], settings)
+                used = weight > 0
                 bands = _band_hashes(signature[used], settings)
                 offsets = np.concatenate(([0], np.cumsum(used * settings.bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), lists], ["doc_id", "key", "bands"]
+                    [part.column("doc_id"), part.column("key"), pa.array(weight), lists],
+                    ["doc_id", "key", "weight", "bands"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, key binary, weight long, bands array<long>")
+
+
+def _marked(texts: DataFrame, settings: Settings) -> DataFrame:
+    """``id, marks``: four bits of each of ``settings.marks`` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = kernels.as_bytes(batch.column("text"))
+            for lo, hi in kernels.groups(rows):
+                signature, _ = signatures(rows[lo:hi], settings, settings.marks)
+                bits = (signature & np.uint64(15)).astype(np.uint8)
+                marks = [row.tobytes() for row in bits[:, ::2] << 4 | bits[:, 1::2]]
+                ids = batch.slice(lo, hi - lo).column("id")
+                yield pa.RecordBatch.from_arrays([ids, pa.array(marks, pa.binary())], ["id", "marks"])
+
+    return texts.mapInArrow(run, "id long, marks binary")
 
 
 def _similarities(a: list[bytes], b: list[bytes], settings: Settings) -> np.ndarray:
@@ -160,6 +185,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
     return sides.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with their new ``root``, of the buckets in several classes."""
+    placed = members.drop("root").join(roots, "id", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "id"))
+    several = (
+        placed.groupBy("bucket")
+        .agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        .filter("least < most")
+        .select("bucket")
+    )
+    return placed.join(several, "bucket")
+
+
+def _leaders(members: DataFrame, round_: int) -> DataFrame:
+    """``bucket, leaders``: in the first round the least id of each bucket, so
+    that a group of copies meets few leaders; later ``LEADERS`` members drawn
+    by class first, so that a large class does not take all of them."""
+    low = F.lit((1 << 24) - 1)
+    orders = [F.col("id")] if round_ == 0 else []
+    for j in range(LEADERS if round_ else 0):
+        by_class = F.xxhash64("root", F.lit(round_), F.lit(j)).bitwiseAND(F.bitwise_not(low))
+        orders.append(by_class.bitwiseOR(F.xxhash64("id", F.lit(round_), F.lit(j)).bitwiseAND(low)))
+    leader = F.struct("id", "root", "weight", "marks")
+    return members.groupBy("bucket").agg(
+        F.array_distinct(F.array(*[F.min_by(leader, o) for o in orders])).alias("leaders")
+    )
+
+
+def _candidates(members: DataFrame, round_: int, settings: Settings) -> DataFrame:
+    """``u, v``: every member with the leaders of its bucket that are of another
+    class and may be similar.
+
+    Weights too far apart rule a pair out. Marks of a pair at the similarity
+    agree with probability ``p``; pairs more than 5 standard deviations below
+    go, which loses one in 3 million.
+    """
+    k, s = settings.marks, settings.similarity
+    p = s + (1 - s) / 16
+    least = k * p - 5 * math.sqrt(k * p * (1 - p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                yield _near(batch.slice(lo, 2000))
+
+    def _near(part: pa.RecordBatch) -> pa.RecordBatch:
+        def marks(column: pa.Array) -> np.ndarray:
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, k // 2)
+
+        lists = part.column("leaders")
+        each = lists.flatten()
+        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        own = {n: part.column(n).to_numpy()[owner] for n in ("id", "root", "weight")}
+        other = {n: each.field(n).to_numpy() for n in ("id", "root", "weight")}
+        lighter = np.minimum(own["weight"], other["weight"])
+        heavier = np.maximum(own["weight"], other["weight"])
+        at = np.flatnonzero((own["root"] != other["root"]) & (lighter >= s * heavier))
+        apart = marks(part.column("marks"))[owner[at]] ^ marks(each.field("marks"))[at]
+        agree = (apart < 16).sum(axis=1) + (apart & 15 == 0).sum(axis=1)
+        at = at[agree >= least]
+        pairs = np.stack((own["id"][at], other["id"][at]), axis=1)
+        u, v = np.unique(pairs, axis=0).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"]
+        )
+
+    met = members.join(_leaders(members, round_), "bucket")
+    columns = met.select("id", "root", "weight", "marks", "leaders")
+    return columns.mapInArrow(run, "u long, v long").distinct()
+
+
 def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id, key, class_id, class_key``, narrow.
 
@@ -178,27 +274,29 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     rows = materialize(_banded(named, settings), "banded")
     distinct = materialize(
         rows.groupBy("key")
-        .agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("doc_id").alias("first_doc"),
+            F.first("weight").alias("weight"),
+            F.first("bands").alias("bands"),
+        )
         .withColumn("id", F.monotonically_increasing_id()),
         "texts",
     )
     ids = distinct.select("id", "key", "first_doc")
     bucket = distinct.select("id", F.explode("bands").alias("bucket"))
-    shared = (
-        bucket.groupBy("bucket")
-        .agg(F.min("id").alias("leader"), F.count("*").alias("members"))
-        .filter("members > 1")
-        .drop("members")
-    )
-    # Only rows of buckets with company, each with its bucket's first leader.
+    shared = bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Only rows of buckets with company.
     members = materialize(bucket.join(shared, "bucket"), "buckets")
     involved = members.select("id").distinct()
     wanted = ids.join(involved, "id").select("id", "key", "first_doc")
     # One row per wanted text: the row of its least id, so copies are not moved.
+    # Wanted rows have 32 bytes; up to the limit they are broadcast.
+    wanted = materialize(wanted, "wanted")
+    sent = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     texts = materialize(
         named.alias("d")
         .join(
-            wanted.alias("w"),
+            sent.alias("w"),
             (F.col("d.key") == F.col("w.key"))
             & F.col("d.doc_id").eqNullSafe(F.col("w.first_doc")),
         )
@@ -206,44 +304,27 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
         .dropDuplicates(["id"]),
         "texts",
     )
-    pairs = members.filter("id <> leader").select(
-        F.col("id").alias("u"), F.col("leader").alias("v")
-    )
-    tried = materialize(pairs.distinct(), "pairs")
+    known = distinct.select("id", "weight").join(_marked(texts, settings), "id")
+    left = members.join(materialize(known, "marks"), "id").withColumn("root", F.col("id"))
+    left = materialize(left, "members")
+    discard(members)
+    tried = materialize(_candidates(left, 0, settings), "pairs")
     links = materialize(_verified(tried, texts, settings), "links")
     round_ = 0
     while True:
         roots = materialize(components(links), "roots")
         round_ += 1
-        # What is left: buckets whose members lie in more than one class, each
-        # with a leader drawn anew.
-        placed = members.join(roots, "id", "left").select(
-            "bucket", "id", F.coalesce("root", "id").alias("root")
-        )
-        draw = F.xxhash64("id", F.lit(round_))
-        mixed = (
-            placed.groupBy("bucket")
-            .agg(
-                F.min("root").alias("least"),
-                F.max("root").alias("most"),
-                F.min_by("id", draw).alias("v"),
-                F.min_by("root", draw).alias("v_root"),
-            )
-            .filter("least < most")
-            .select("bucket", "v", "v_root")
-        )
-        fresh = (
-            placed.join(mixed, "bucket")
-            .filter("root <> v_root")
-            .select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
-            .distinct()
-            .join(tried, ["u", "v"], "left_anti")
-        )
+        mixed = materialize(_mixed(left, roots), "members")
+        discard(left)
+        left = mixed
+        fresh = _candidates(left, round_, settings).join(tried, ["u", "v"], "left_anti")
         fresh = materialize(fresh, "pairs")
         found = materialize(_verified(fresh, texts, settings), "links")
         if found.isEmpty():
             break
+        discard(roots)
         tried, links = tried.union(fresh), links.union(found)
+    discard(left, texts)
     placed = ids.join(roots, "id", "left").select(
         "key", "first_doc", F.coalesce("root", "id").alias("root")
     )
