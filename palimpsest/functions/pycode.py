@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 
 import pyarrow as pa
@@ -179,7 +180,7 @@ def _marks(tree: ast.AST, lines: list[str]) -> dict:
 
 def _plain_tokens(code: str):
     """Tokens with each f-string as one token."""
-    lines = code.splitlines(keepends=True)
+    lines = io.StringIO(code).readlines()
     depth, start = 0, None
     opening = {getattr(tokenize, n, -1) for n in ("FSTRING_START", "TSTRING_START")}
     closing = {getattr(tokenize, n, -1) for n in ("FSTRING_END", "TSTRING_END")}
@@ -212,7 +213,7 @@ def _tokens_of(code: str | None, max_tokens: int | None, keep_nl: bool) -> dict:
     tree, error = _parse(code)
     if error:
         return {"error": error, "tokens": []}
-    marks = _marks(tree, code.splitlines() or [""])
+    marks = _marks(tree, re.split(r"\r\n|\r|\n", code))
     out: list[dict] = []
     pending: list[tuple] = []
     last = None
@@ -295,6 +296,13 @@ def tokens_of(
 # ---- identifiers and literals of a file ----------------------------------
 
 def _values_of(text: str | None) -> dict:
+    try:
+        return _found_values(text)
+    except ValueError as error:  # a number of too many digits to be written
+        return {"error": str(error), "items": []}
+
+
+def _found_values(text: str | None) -> dict:
     if text is None:
         return {"error": "missing", "items": []}
     tree, error = _parse(text)

@@ -41,7 +41,7 @@ def split_tokens(c: Column | str, delimiter: str = " ", downcase: bool = False)
     text = F.regexp_replace(text, r"^\s+|\s+$", "")
     if delimiter == "":
         return F.array_remove(F.split(text, ""), "")
-    literal = "\\Q" + delimiter + "\\E" if len(delimiter) > 1 else "[" + delimiter + "]"
+    literal = "\\Q" + delimiter.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     return F.array_remove(F.split(text, literal), "")
 
 

@@ -9,10 +9,18 @@ from palimpsest.functions.scores import ratio
 from palimpsest.functions.text import BEAM_SEPARATOR
 
 
+_WHITE = " \t\n\r\v\f"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends; what is inside stays."""
+    return F.btrim(text, F.lit(_WHITE))
+
+
 def outcome(hyp: str, source: str, target: str) -> Column:
     """perfect if the hypothesis is the target, else bad if it is the source,
     else changed; surrounding white space is ignored."""
-    h, s, g = (F.trim(F.translate(c, "\t\n\r", "   ")) for c in (hyp, source, target))
+    h, s, g = (stripped(F.col(c)) for c in (hyp, source, target))
     return F.when(h == g, "perfect").when(h == s, "bad").otherwise("changed")
 
 
@@ -37,10 +45,8 @@ def with_beam_outcomes(
 ) -> DataFrame:
     """Add per example whether a hypothesis is perfect, how many are potential
     and how many repeat the source."""
-    hyps = F.transform(
-        F.split(beams, separator, -1), lambda h: F.trim(F.translate(h, "\t\n\r", "   "))
-    )
-    g, s = (F.trim(F.translate(c, "\t\n\r", "   ")) for c in (target, source))
+    hyps = F.transform(F.split(beams, separator, -1), stripped)
+    g, s = (stripped(F.col(c)) for c in (target, source))
     return df.withColumns(
         {
             "n_hyps": F.size(hyps).cast("long"),

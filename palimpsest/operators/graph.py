@@ -81,7 +81,8 @@ def pagerank(
 
     Rank of a node without edges is shared evenly. Each round is written to the
     shared folder, which cuts the lineage; the rounds stop when every cluster
-    moved less than ``tolerance`` per node.
+    moved less than ``tolerance`` per node. Reaching ``max_iterations`` first is
+    an error that names some of the clusters that still move.
     """
     nodes = materialize(_nodes(df, cluster, key, vector, rows_per_block), "nodes")
     sizes = nodes.groupBy("cluster").agg(F.count("*").alias("n"))
@@ -109,8 +110,12 @@ def pagerank(
             "ranks",
         )
         moved = ranks.groupBy("cluster").agg((F.sum("moved") / F.max("n")).alias("m"))
-        if moved.agg(F.max("m")).first()[0] < tolerance:
+        most = moved.agg(F.max("m")).first()[0]
+        if most is None or most < tolerance:
             break
+    else:
+        some = [r["cluster"] for r in moved.filter(F.col("m") >= tolerance).limit(10).collect()]
+        raise RuntimeError(f"no convergence in {max_iterations} rounds; clusters that still move: {some}")
     return ranks.select("cluster", "id", "rank")
 
 

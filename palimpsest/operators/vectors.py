@@ -38,7 +38,9 @@ def norm(a: Column | str) -> Column:
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
-    return 1 - dot(a, b) / (norm(a) * norm(b))
+    """1 - cosine; a zero vector is at distance 1 from everything."""
+    lengths = norm(a) * norm(b)
+    return F.when(lengths > 0, 1 - dot(a, b) / lengths).otherwise(F.lit(1.0))
 
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:
@@ -47,7 +49,8 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def unit(a: Column | str) -> Column:
-    n = norm(a)
+    """The vector at length 1; a zero vector stays."""
+    n = F.greatest(norm(a), F.lit(5e-324))
     return F.transform(a, lambda x: x / n)
 
 
