@@ -34,20 +34,23 @@ LEADERS = 8  # of a bucket, in every round but the first
 
 _LOWEST = -12  # ranks below 2 ** _LOWEST are one level
 _SEED = np.uint64(0xD1B54A32D192ED03)
+# Per byte, how many of its four bit pairs are zero.
+_ALIKE = sum((np.arange(256) >> (2 * j) & 3 == 0).astype(np.uint8) for j in range(4))
 
 
 @dataclass(frozen=True)
 class Settings:
     """``bands * rows`` coordinates. At similarity 0.8 a pair misses all 30
     bands of 5 with probability 7e-6. Texts that share a band are told apart by
-    a second signature of ``marks`` (even) coordinates first. ``weighting`` is "set" (every distinct
-    shingle weighs 1) or "count" (its occurrences)."""
+    a second signature of ``marks`` coordinates (a multiple of 4) first.
+    ``weighting`` is "set" (every distinct shingle weighs 1) or "count" (its
+    occurrences)."""
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 30
     rows: int = 5
-    marks: int = 600
+    marks: int = 1200
     weighting: str = "set"
 
     @property
@@ -138,15 +141,16 @@ def _banded(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _marked(texts: DataFrame, settings: Settings) -> DataFrame:
-    """``id, marks``: four bits of each of ``settings.marks`` coordinates."""
+    """``id, marks``: two bits of each of ``settings.marks`` coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = kernels.as_bytes(batch.column("text"))
             for lo, hi in kernels.groups(rows):
                 signature, _ = signatures(rows[lo:hi], settings, settings.marks)
-                bits = (signature & np.uint64(15)).astype(np.uint8)
-                marks = [row.tobytes() for row in bits[:, ::2] << 4 | bits[:, 1::2]]
+                pairs = (signature & np.uint64(3)).astype(np.uint8)
+                whole = sum(pairs[:, j::4] << (2 * j) for j in range(4))
+                marks = [row.tobytes() for row in whole]
                 ids = batch.slice(lo, hi - lo).column("id")
                 yield pa.RecordBatch.from_arrays([ids, pa.array(marks, pa.binary())], ["id", "marks"])
 
@@ -222,7 +226,7 @@ def _candidates(members: DataFrame, round_: int, settings: Settings) -> DataFram
     go, which loses one in 3 million.
     """
     k, s = settings.marks, settings.similarity
-    p = s + (1 - s) / 16
+    p = s + (1 - s) / 4
     least = k * p - 5 * math.sqrt(k * p * (1 - p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +236,7 @@ def _candidates(members: DataFrame, round_: int, settings: Settings) -> DataFram
 
     def _near(part: pa.RecordBatch) -> pa.RecordBatch:
         def marks(column: pa.Array) -> np.ndarray:
-            return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, k // 2)
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, k // 4)
 
         lists = part.column("leaders")
         each = lists.flatten()
@@ -243,8 +247,7 @@ def _candidates(members: DataFrame, round_: int, settings: Settings) -> DataFram
         heavier = np.maximum(own["weight"], other["weight"])
         at = np.flatnonzero((own["root"] != other["root"]) & (lighter >= s * heavier))
         apart = marks(part.column("marks"))[owner[at]] ^ marks(each.field("marks"))[at]
-        agree = (apart < 16).sum(axis=1) + (apart & 15 == 0).sum(axis=1)
-        at = at[agree >= least]
+        at = at[_ALIKE[apart].sum(axis=1) >= least]
         pairs = np.stack((own["id"][at], other["id"][at]), axis=1)
         u, v = np.unique(pairs, axis=0).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays(
