@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.literals import PREFIXES
 from palimpsest.functions.pycode import tokens_of
+from palimpsest.functions.rows import once
 from palimpsest.operators.code import MAX_TOKENS
 from palimpsest.session import dictionary_join
 
@@ -159,10 +160,12 @@ MAP_FIELDS = {
 }
 
 
-def replacement_maps(replacements: DataFrame) -> DataFrame:
+def replacement_maps(replacements: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``pair_id`` and a struct of placeholder -> value maps, one per class.
 
-    Numbers are kept as text, since integers may exceed any column type.
+    Numbers are kept as text, since integers may exceed any column type. Every
+    pair of ``pairs`` (unique ``pair_id``) has a row; one without placeholders
+    has empty maps.
     """
     rows = F.array_sort(F.collect_list(F.struct("cls", "placeholder", "value")))
 
@@ -171,6 +174,10 @@ def replacement_maps(replacements: DataFrame) -> DataFrame:
         return F.map_from_entries(F.transform(mine, lambda r: F.struct(r["placeholder"], r["value"])))
 
     grouped = replacements.groupBy("pair_id").agg(rows.alias("_rows"))
+    if pairs is not None:
+        none = F.array().cast(grouped.schema["_rows"].dataType)
+        grouped = pairs.select("pair_id").join(grouped, "pair_id", "left")
+        grouped = grouped.withColumn("_rows", F.coalesce("_rows", none))
     return grouped.select(
         "pair_id",
         F.struct(*[one(cls).alias(f) for f, cls in MAP_FIELDS.items()]).alias("replacement_map"),
@@ -193,7 +200,10 @@ def restore(tokens: Column | str, replacement_map: Column | str) -> Column:
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     maps = F.col(replacement_map) if isinstance(replacement_map, str) else replacement_map
     merged = F.map_concat(*[maps[f] for f in MAP_FIELDS])
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(merged, t), t))
+    return once(
+        merged,
+        lambda m: F.transform(tokens, lambda t: F.coalesce(F.try_element_at(m, t), t)),
+    )
 
 
 def invert_map(m: Column | str) -> Column:

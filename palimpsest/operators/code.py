@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.pycode import functions_of, tokens_of, values_of
-from palimpsest.functions.rows import element_rows
+from palimpsest.functions.rows import element_rows, once
 from palimpsest.functions.text import one_line
 
 # Fixed value: the longest side of a kept pair.
@@ -40,20 +40,19 @@ def pair_functions(changes: DataFrame, *keep: str) -> DataFrame:
     Both texts sit in one row, so pairing needs no shuffle. A change with an
     unreadable side is dropped whole.
     """
-    sides = _both_sides(changes, *keep)
-    rows = element_rows(
-        sides.withColumn("_fs", F.col("a.functions")), "b.functions", "x", *keep, "_fs"
-    )
-    match = F.get(F.filter("_fs", lambda f: f["name"] == F.col("x.name")), F.lit(0))
-    return (
-        rows.select(
-            *keep,
-            F.col("x.name").alias("func_name"),
-            F.col("x.code").alias("before_code"),
-            match["code"].alias("after_code"),
-        )
-        .filter("after_code IS NOT NULL")
-    )
+    def paired(names: Column) -> Column:
+        def pair(f: Column) -> Column:
+            at = (F.array_position(names, f["name"]) - 1).cast("int")
+            return F.struct(
+                f["name"].alias("func_name"),
+                f["code"].alias("before_code"),
+                F.get("a.functions", at)["code"].alias("after_code"),
+            )
+
+        return F.transform("b.functions", pair)
+
+    both = F.filter(once(F.col("a.functions.name"), paired), lambda p: p["after_code"].isNotNull())
+    return element_rows(_both_sides(changes, *keep), both, "x", *keep).select(*keep, "x.*")
 
 
 def created_and_removed(changes: DataFrame, *keep: str) -> DataFrame:

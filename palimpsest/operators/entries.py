@@ -53,8 +53,10 @@ def change_entries(
         "before_code",
         "after_code",
     )
+    # Rows are told apart by a number, since a name may occur more than once.
+    found = found.withColumn("pair_id", F.monotonically_increasing_id())
     pairs = materialize(found, "function-pairs")
-    tokens = A.pair_token_table(pairs, "name", max_tokens=max_tokens)
+    tokens = A.pair_token_table(pairs, "pair_id", max_tokens=max_tokens)
     numbered = A.number_placeholders(A.with_idiom_flag(tokens, idioms, idiom_rows_at_most))
     fields = F.struct("pos", "side", "token", "normalized", "cls", "placeholder", "value")
     rows = (
@@ -66,7 +68,7 @@ def change_entries(
         .withColumn("after", F.concat_ws(" ", "a.normalized"))
         .filter("before <> after")
         .select(
-            F.col("pair_id").alias("name"),
+            "pair_id",
             F.col("before").alias("before_code_normalized"),
             F.col("after").alias("after_code_normalized"),
             _positional_actions(F.col("b"), F.col("a")).alias("edit_actions"),
@@ -75,7 +77,7 @@ def change_entries(
             ).alias("replacement_map"),
         )
     )
-    return pairs.join(rows, "name").select(
+    return pairs.join(rows, "pair_id").select(
         "name",
         "before_code",
         "after_code",

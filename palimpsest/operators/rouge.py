@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.lcs import lcs_length_of, union_lcs_of
+from palimpsest.functions.rows import once
 from palimpsest.functions.scores import f1, lcs_f, ratio
 from palimpsest.operators.bleu import ngrams
 
@@ -21,8 +22,11 @@ def rouge_words(c: Column | str) -> Column:
 
 def with_rouge_n(df: DataFrame, hyp: str, ref: str, n: int) -> DataFrame:
     """Add ``rouge_n_{p,r,f}`` from the sets of n-grams."""
-    out = df.withColumn("_h", F.array_distinct(ngrams(rouge_words(hyp), n))).withColumn(
-        "_r", F.array_distinct(ngrams(rouge_words(ref), n))
+    out = df.withColumns(
+        {
+            "_h": once(rouge_words(hyp), lambda w: F.array_distinct(ngrams(w, n))),
+            "_r": once(rouge_words(ref), lambda w: F.array_distinct(ngrams(w, n))),
+        }
     )
     both = F.size(F.array_intersect("_h", "_r"))
     p, r = ratio(both, F.size("_h")), ratio(both, F.size("_r"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.rows import element_rows
 from palimpsest.functions.text import UNK
 from palimpsest.operators.ordering import with_index
-from palimpsest.session import BROADCAST_ROWS, dictionary_join
+from palimpsest.session import BROADCAST_ROWS, dictionary_join, fits_broadcast, materialize
 
 # The corpus guide recommends a vocabulary of at most 1000 tokens.
 RECOMMENDED_VOCAB_SIZE = 1000
@@ -91,22 +95,57 @@ def lookup_counts(
     return joined.withColumn("token_count", F.coalesce("_count", F.lit(-1))).drop("_count")
 
 
+def _encoded(rows: DataFrame, known: pa.Table, unk_id: int) -> DataFrame:
+    """Ids of ``_tokens`` by hashed lookup in a dictionary of checked size."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value.column("token").combine_chunks()
+        ids = sent.value.column("id").combine_chunks()
+        for batch in batches:
+            lists = batch.column("_tokens")
+            flat = lists.flatten().cast(words.type)
+            found = pc.fill_null(ids.take(pc.index_in(flat, value_set=words)), unk_id)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = pa.array([0, *lengths.cumsum().tolist()], pa.int32())
+            out = pa.ListArray.from_arrays(ends, found)
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), out], ["_key", "ids"])
+
+    key_type = rows.schema["_key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"_key {key_type}, ids array<bigint>")
+
+
 def encode(
     df: DataFrame,
     key: str,
     tokens: str,
     vocab: DataFrame,
-    unk_id: int,
+    unk_id: int | None = None,
     rows_at_most: int | None = None,
 ) -> DataFrame:
     """``(key, ids)``: each row's token array as ids, order kept.
 
-    Only (key, position, id) rows are regrouped, and each group came out of
+    Rows without tokens, null among them, have empty ids; keys may repeat.
+    Without ``unk_id`` it is the size of the vocabulary, the first id after it.
+    A vocabulary of checked size is sent to every task and no token is shuffled.
+    Beyond that (row, position, id) rows are regrouped; each group came out of
     one input row, so its size is bounded by that row.
     """
-    found = lookup_ids(token_rows(df, tokens, key), vocab, unk_id, rows_at_most)
-    return found.groupBy(key).agg(
+    if unk_id is None:
+        unk_id = vocab.count()
+    rows = df.select(F.col(key).alias("_key"), F.col(tokens).alias("_tokens"))
+    if fits_broadcast(vocab, rows_at_most):
+        known = vocab.select("token", F.col("id").cast("long").alias("id")).toArrow()
+        return _encoded(rows, known, unk_id).withColumnRenamed("_key", key)
+    none = F.array().cast("array<bigint>")
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = lookup_ids(token_rows(rows, "_tokens", "_row"), vocab, unk_id)
+    grouped = found.groupBy("_row").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda x: x["token_id"]
+            F.array_sort(F.collect_list(F.struct("pos", F.col("token_id").cast("long")))),
+            lambda x: x["token_id"],
         ).alias("ids")
     )
+    return rows.drop("_tokens").join(grouped, "_row", "left").select(
+        F.col("_key").alias(key), F.coalesce("ids", none).alias("ids")
+    )

@@ -221,11 +221,12 @@ def replacement_json(t):
     return A.replacement_maps(A.replacement_rows(numbered(t))).select("pair_id", A.map_to_json().alias("json"))
 
 
-@query("restored_tokens", f"{_C} SELECT pair_id, string_agg(token, ' ' ORDER BY pos) FILTER (side = 'after') AS after FROM code_tokens GROUP BY pair_id HAVING pair_id IN (SELECT pair_id FROM placeholders)")
+@query("restored_tokens", f"{_C} SELECT pair_id, string_agg(token, ' ' ORDER BY pos) FILTER (side = 'after') AS after FROM code_tokens GROUP BY pair_id")
 def restored_tokens(t):
     n = numbered(t)
-    maps = A.replacement_maps(A.replacement_rows(n)).select("pair_id", A.map_to_json().alias("json"))
-    rows = A.pair_lines(n).join(maps, "pair_id").withColumn("m", A.map_from_json("json"))
+    lines = A.pair_lines(n)
+    maps = A.replacement_maps(A.replacement_rows(n), lines).select("pair_id", A.map_to_json().alias("json"))
+    rows = lines.join(maps, "pair_id").withColumn("m", A.map_from_json("json"))
     return rows.select("pair_id", F.concat_ws(" ", A.restore(F.split("after", " "), "m")).alias("after"))
 
 

@@ -159,7 +159,6 @@ def rouge_l_summary(t):
         return F.array_remove(F.transform(F.split(c, "[.]"), F.trim), "")
 
     rows = predictions(t).select("pair_id", sentences("hyp").alias("h"), sentences("target").alias("g"))
-    rows = rows.filter("size(h) > 0 AND size(g) > 0")
     out = rouge.with_rouge_l_summary(rows, "h", "g")
     return _rounded(out.select("pair_id", "rouge_lsum_p", "rouge_lsum_r", "rouge_lsum_f"))
 

@@ -103,10 +103,11 @@ def token_to_count(t):
 
 
 @query("encode_documents", f"""{_VOCAB}
-SELECT doc_id, string_agg(coalesce(v.id, {SIZE})::VARCHAR, ' ' ORDER BY pos) AS ids
-FROM doc_tokens d LEFT JOIN vocab v ON d.token = v.token GROUP BY doc_id""")
+SELECT doc_id, coalesce(e.ids, '') AS ids FROM documents LEFT JOIN (
+  SELECT doc_id, string_agg(coalesce(v.id, (SELECT count(*) FROM vocab))::VARCHAR, ' ' ORDER BY pos) AS ids
+  FROM doc_tokens d LEFT JOIN vocab v ON d.token = v.token GROUP BY doc_id) e USING (doc_id)""")
 def encode_documents(t):
-    ids = V.encode(document_tokens(t), "doc_id", "tokens", _vocab(t), SIZE, rows_at_most=SIZE)
+    ids = V.encode(document_tokens(t), "doc_id", "tokens", _vocab(t), rows_at_most=SIZE)
     return ids.select("doc_id", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"))
 
 
