@@ -240,7 +240,7 @@ def _tokens_of(code: str | None, max_tokens: int | None, keep_nl: bool) -> dict:
             last = end
     except (tokenize.TokenError, *_UNREADABLE) as e:
         return {"error": type(e).__name__, "tokens": []}
-    if any("\n" in r["token"] for r in out):
+    if not keep_nl and any("\n" in r["token"] for r in out):
         return {"error": "MultilineToken", "tokens": []}
     try:
         "".join(r["value"] or "" for r in out).encode("utf-8")
@@ -276,7 +276,8 @@ def tokens_of(
     """``struct<error, tokens: array<struct<token, cls, value, visit, gap>>>``.
 
     Line ends and indentation become markers; comments and blank lines are
-    dropped unless ``keep_nl``. ``gap`` counts the blanks before a token.
+    dropped unless ``keep_nl``, which also keeps strings of several lines as
+    they are. ``gap`` counts the blanks before a token.
     Longer code than ``max_tokens`` comes back with error TooManyTokens.
     """
 

@@ -12,6 +12,7 @@ UNK = "UNK"
 BEAM_SEPARATOR = " <SEP> "
 ALIGNER_SEPARATOR = " ||| "
 BPE_JOINER = "@@ "
+WHITE = " \t\n\r\v\f"
 SENTENCEPIECE_SPACE = "▁"
 
 

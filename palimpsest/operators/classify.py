@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scores import ratio
-from palimpsest.functions.text import BEAM_SEPARATOR
-
-
-_WHITE = " \t\n\r\v\f"
+from palimpsest.functions.text import BEAM_SEPARATOR, WHITE
 
 
 def stripped(text: Column) -> Column:
     """The text without white space at its ends; what is inside stays."""
-    return F.btrim(text, F.lit(_WHITE))
+    return F.btrim(text, F.lit(WHITE))
 
 
 def outcome(hyp: str, source: str, target: str) -> Column:

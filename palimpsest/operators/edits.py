@@ -1,8 +1,8 @@
 """Edit actions between the two sides of a pair, from their tokens.
 
 The actions carry the usual labels (insert, delete, update, move) but come
-from token positions and counts, not from a tree matcher, so the sequence of a
-pair can differ from a tree diff. Input: ``pair_id, side, pos, token``.
+from token positions, counts or alignment, not from a tree matcher, so the
+sequence of a pair can differ from a tree diff. Input: ``pair_id, side, pos, token``.
 """
 
 from __future__ import annotations
@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.rows import element_rows
-
-# Action labels.
-INSERT, DELETE, UPDATE, MOVE = "insert-node", "delete-node", "update-node", "move-tree"
+from palimpsest.functions.script import DELETE, INSERT, UPDATE, edit_script_of
 
 
 def _when_side(side: str, value: Column | str) -> Column:
@@ -69,6 +67,13 @@ def edit_sequences(tokens: DataFrame) -> DataFrame:
     )
 
 
+def edit_scripts(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """One row per edit of the aligned token arrays: ``step``, ``action``, the
+    positions and the tokens. Equal pairs have none."""
+    rows = pairs.select(key, edit_script_of(before, after).alias("s"))
+    return element_rows(rows, "s", "e", key, pos="step").select(key, "step", "e.*")
+
+
 def change_size(lines: DataFrame, before: str, after: str) -> Column:
     """Characters to change to get from one text to the other."""
     return F.levenshtein(before, after)

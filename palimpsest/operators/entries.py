@@ -5,26 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.script import edit_script_of
 from palimpsest.operators import abstraction as A
 from palimpsest.operators import code as C
-from palimpsest.operators import edits as E
 from palimpsest.session import materialize
 
 
-def _positional_actions(before: Column, after: Column) -> Column:
-    """Action labels of two token arrays in order of position."""
-    longest = F.greatest(F.size(before), F.size(after))
-
-    def action(i: Column) -> Column:
-        b, a = F.get(before, i)["token"], F.get(after, i)["token"]
-        return (
-            F.when(b.isNull(), E.INSERT).when(a.isNull(), E.DELETE).when(b != a, E.UPDATE)
-        )
-
-    places = F.sequence(F.lit(0), F.greatest(longest - 1, F.lit(0)))
-    return F.filter(F.transform(places, action), lambda x: x.isNotNull())
-
-
 def _one_map(tokens: Column, cls: str) -> Column:
     mine = F.filter(tokens, lambda x: (x["cls"] == cls) & x["placeholder"].isNotNull())
     entries = F.transform(mine, lambda x: F.struct(x["placeholder"], x["value"]))
@@ -71,7 +57,7 @@ def change_entries(
             "pair_id",
             F.col("before").alias("before_code_normalized"),
             F.col("after").alias("after_code_normalized"),
-            _positional_actions(F.col("b"), F.col("a")).alias("edit_actions"),
+            edit_script_of("b.token", "a.token")["action"].alias("edit_actions"),
             F.struct(
                 *[_one_map(F.col("t"), cls).alias(f) for f, cls in A.MAP_FIELDS.items()]
             ).alias("replacement_map"),

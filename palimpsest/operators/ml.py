@@ -86,8 +86,12 @@ def grid_silhouettes(
     )
 
 
-def principal_components(df: DataFrame, k: int, vector: str = "vector") -> DataFrame:
-    """Add ``components``: the first k principal components of centred vectors."""
+def principal_components(df: DataFrame, k: int | None = None, vector: str = "vector") -> DataFrame:
+    """Add ``components``: the first k principal components of centred vectors,
+    all of them without ``k``. A table without rows has none."""
+    k = k or df.agg(F.max(F.size(vector))).first()[0]
+    if not k:
+        return df.withColumn("components", F.array().cast("array<double>"))
     features = with_features(df, vector)
     centred = (
         StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="_m")

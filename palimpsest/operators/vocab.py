@@ -142,7 +142,7 @@ def encode(
     found = lookup_ids(token_rows(rows, "_tokens", "_row"), vocab, unk_id)
     grouped = found.groupBy("_row").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", F.col("token_id").cast("long")))),
+            F.array_sort(F.collect_list(F.struct("pos", F.col("token_id").cast("long").alias("token_id")))),
             lambda x: x["token_id"],
         ).alias("ids")
     )

@@ -276,6 +276,24 @@ def action_histogram(t):
     return E.action_histogram(E.edit_sequences(code_tokens(t)))
 
 
+_WORD_LISTS = """w AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> ''), []) AS w FROM documents)"""
+
+
+# A word put in front, the last word moved to the front, or the last word cut.
+@query("edit_scripts", f"""WITH {_WORD_LISTS}
+SELECT doc_id, 0 AS step, 'insert-node' AS action FROM w WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 0, 'move-tree' FROM w WHERE doc_id % 3 = 1 AND len(list_distinct(w)) > 1
+UNION ALL SELECT doc_id, 0, 'delete-node' FROM w WHERE doc_id % 3 = 2 AND len(w) > 0""")
+def edit_scripts(t):
+    w = F.coalesce("tokens", F.array().cast("array<string>"))
+    rest = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
+    last = F.slice(w, F.greatest(F.size(w), F.lit(1)), 1)
+    after = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.array(F.lit("@new")), w))
+             .when(F.col("doc_id") % 3 == 1, F.concat(last, rest)).otherwise(rest))
+    docs = document_tokens(t).select("doc_id", w.alias("w"), after.alias("a"))
+    return E.edit_scripts(docs, "doc_id", "w", "a").select("doc_id", "step", "action")
+
+
 # Move detection needs reordered words: the document against its reversal.
 @query("token_moves", f"""WITH {DOC_TOKENS_SQL}, p AS (SELECT doc_id, token, pos, max(pos) OVER (PARTITION BY doc_id) - pos AS back FROM doc_tokens),
 g AS (SELECT doc_id AS pair_id, token, list_sort(list(pos)) AS b, list_sort(list(back)) AS a, count(*) AS n FROM p GROUP BY ALL)

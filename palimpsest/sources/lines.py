@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import WHITE
 from palimpsest.session import dictionary_join
 
 
@@ -40,6 +41,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, target)`` of a file of ``source<TAB>target`` lines, both
+    stripped. Of several lines of a source the last counts; further fields are
+    left out, and a line without a tab is an error."""
+    parts = F.split("value", "\t")
+    broken = F.raise_error(F.concat(F.lit("no tab in line: "), "value"))
+    target = F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(broken)
+    rows = read_lines(spark, path).select(
+        F.btrim(F.get(parts, F.lit(0)), F.lit(WHITE)).alias("source"),
+        F.btrim(target, F.lit(WHITE)).alias("target"),
+        "idx",
+    )
+    return rows.groupBy("source").agg(F.max_by("target", "idx").alias("target"))
+
+
 def read_parallel(spark: SparkSession, source: str, target: str) -> DataFrame:
     """``(pair_id, source, target)``: line i of one side with line i of the
     other; sides of unequal length are an error."""

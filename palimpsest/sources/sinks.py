@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import ALIGNER_SEPARATOR
+from palimpsest.functions.text import ALIGNER_SEPARATOR, WHITE
 from palimpsest.operators.ordering import with_group_index, with_index
 from palimpsest.sources.lines import read_lines
 
@@ -61,7 +61,7 @@ def merge_report(data: DataFrame, before: DataFrame, after: DataFrame) -> DataFr
     joined = data.withColumn("_hd", F.lit(True)).join(b, keys, "full").join(a, keys, "full")
 
     def differs(text: str, line: str) -> Column:
-        return F.rtrim(text) != F.rtrim(line)
+        return F.rtrim(text, F.lit(WHITE)) != F.rtrim(line, F.lit(WHITE))
 
     return joined.agg(
         F.count("*").alias("rows"),
