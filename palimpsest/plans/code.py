@@ -255,10 +255,10 @@ def bag_edits(t):
     return E.bag_edits(code_tokens(t))
 
 
-_POSITIONAL = """e AS (SELECT coalesce(b.pair_id, a.pair_id) AS pair_id, coalesce(b.pos, a.pos) AS pos, b.token AS before, a.token AS after,
-  CASE WHEN b.token IS NULL THEN 'insert-node' WHEN a.token IS NULL THEN 'delete-node' ELSE 'update-node' END AS action
-  FROM (SELECT * FROM code_tokens WHERE side = 'before') b FULL JOIN (SELECT * FROM code_tokens WHERE side = 'after') a
-    ON a.pair_id = b.pair_id AND a.pos = b.pos WHERE b.token IS DISTINCT FROM a.token)"""
+_POSITIONAL = """s AS (SELECT pair_id, pos, max(token) FILTER (side = 'before') AS before, max(token) FILTER (side = 'after') AS after
+  FROM code_tokens GROUP BY ALL),
+e AS (SELECT *, CASE WHEN before IS NULL THEN 'insert-node' WHEN after IS NULL THEN 'delete-node' ELSE 'update-node' END AS action
+  FROM s WHERE before IS DISTINCT FROM after)"""
 
 
 @query("positional_edits", f"{_C}, {_POSITIONAL} SELECT pair_id, pos, before, after, action FROM e")
