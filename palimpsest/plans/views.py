@@ -27,7 +27,7 @@ def pairs(t: Tables) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), one_line("text").alias("target")
     )
     return user.join(reply, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "source", "target"
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("pair_id"), "source", "target"
     )
 
 
@@ -36,7 +36,7 @@ _USER = LINE_SQL.format("u.text")
 _REPLY = LINE_SQL.format("a.text")
 PAIRS_SQL = f"""
 pairs AS (
-  SELECT u.conv_id * 100 + u.turn AS pair_id, {_USER} AS source, {_REPLY} AS target
+  SELECT u.conv_id * 1000000 + u.turn AS pair_id, {_USER} AS source, {_REPLY} AS target
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # A side joined by broadcast never has more rows than this.
 BROADCAST_ROWS = 200_000
 
+# Nor more bytes than this, as JSON text.
+BROADCAST_BYTES = 256 << 20
+
 # Replicas of the dictionary side when a large dictionary is joined by shuffle.
 SALTS = 16
 
@@ -101,11 +104,14 @@ def fits_broadcast(df: DataFrame, rows_at_most: int | None = None) -> bool:
     """Whether ``df`` is small enough to broadcast.
 
     ``rows_at_most`` is a bound known from how ``df`` was built (a top-k size);
-    without one the rows are counted, stopping past the limit.
+    without one the rows and their bytes are counted, stopping past the limit
+    of rows.
     """
     if rows_at_most is not None:
         return rows_at_most <= BROADCAST_ROWS
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("size")).first()
+    return rows["n"] <= BROADCAST_ROWS and (rows["size"] or 0) <= BROADCAST_BYTES
 
 
 def dictionary_join(

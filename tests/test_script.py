@@ -15,6 +15,7 @@ from palimpsest.operators import abstraction as A
 from palimpsest.operators import code as C
 from palimpsest.operators import rouge, vocab
 from palimpsest.operators.entries import change_entries
+from palimpsest.session import fits_broadcast
 from palimpsest.sources.lines import read_mapping
 
 words = st.lists(st.sampled_from("abcd"), max_size=14)
@@ -120,3 +121,10 @@ def test_a_mapping_file_is_read(spark, tmp_path):
     (tmp_path / "map.txt").write_text("a\t x \n b \ty\tmore\na\tz\n")
     rows = read_mapping(spark, str(tmp_path / "map.txt")).collect()
     assert sorted((r["source"], r["target"]) for r in rows) == [("a", "z"), ("b", "y")]
+
+
+def test_few_rows_of_many_bytes_are_not_sent(spark, monkeypatch):
+    df = spark.createDataFrame([("x" * 500, b"y"), (None, None)], "t string, b binary")
+    assert fits_broadcast(df) and fits_broadcast(df.limit(0))
+    monkeypatch.setattr("palimpsest.session.BROADCAST_BYTES", 400)
+    assert not fits_broadcast(df)
