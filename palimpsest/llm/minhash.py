@@ -189,17 +189,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
     return sides.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+def _sent(few: DataFrame) -> DataFrame:
+    """``few``, broadcast if its counted rows and bytes are within the limit, so
+    that the rows it meets, which carry marks, are not shuffled."""
+    return F.broadcast(few) if fits_broadcast(few) else few
+
+
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``members`` with their new ``root``, of the buckets in several classes."""
-    placed = members.drop("root").join(roots, "id", "left")
+    placed = members.drop("root").join(_sent(roots), "id", "left")
     placed = placed.withColumn("root", F.coalesce("root", "id"))
-    several = (
+    several = materialize(
         placed.groupBy("bucket")
         .agg(F.min("root").alias("least"), F.max("root").alias("most"))
         .filter("least < most")
-        .select("bucket")
+        .select("bucket"),
+        "several",
     )
-    return placed.join(several, "bucket")
+    mixed = materialize(placed.join(_sent(several), "bucket"), "members")
+    discard(several)
+    return mixed
 
 
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
@@ -295,11 +304,10 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     # One row per wanted text: the row of its least id, so copies are not moved.
     # Wanted rows have 32 bytes; up to the limit they are broadcast.
     wanted = materialize(wanted, "wanted")
-    sent = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     texts = materialize(
         named.alias("d")
         .join(
-            sent.alias("w"),
+            _sent(wanted).alias("w"),
             (F.col("d.key") == F.col("w.key"))
             & F.col("d.doc_id").eqNullSafe(F.col("w.first_doc")),
         )
@@ -317,7 +325,7 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     while True:
         roots = materialize(components(links), "roots")
         round_ += 1
-        mixed = materialize(_mixed(left, roots), "members")
+        mixed = _mixed(left, roots)
         discard(left)
         left = mixed
         fresh = _candidates(left, round_, settings).join(tried, ["u", "v"], "left_anti")
