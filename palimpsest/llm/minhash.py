@@ -10,8 +10,9 @@ similarity. A text needs about ``k ln k + 2k`` darts, however long it is.
 Signatures are cut into bands. Texts that share a band are compared with one
 leader of the band's bucket, by exact weighted Jaccard of their shingles;
 buckets whose members still lie in several classes are dealt again with a few
-other leaders, until a round finds no new link. Every round is linear in the
-members of the buckets that are left.
+other leaders, until a round finds no new link. A member that has led has met
+all of its bucket and leaves it, so no bucket compares a pair twice. Every round
+is linear in the members of the buckets that are left.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels
@@ -195,35 +196,49 @@ def _sent(few: DataFrame) -> DataFrame:
     return F.broadcast(few) if fits_broadcast(few) else few
 
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``members`` with their new ``root``, of the buckets in several classes."""
-    placed = members.drop("root").join(_sent(roots), "id", "left")
+def _draws(round_: int, root: str = "root") -> list[Column]:
+    """By what the leaders of a bucket are chosen: in the first round the least
+    id, so that a group of copies meets few leaders; later ``LEADERS`` draws by
+    class first, so that a large class does not take all of them. Each bucket
+    draws on its own: texts that share several buckets meet other leaders in
+    each, not the same ones again."""
+    if round_ == 0:
+        return [F.col("id")]
+    salts = [[F.col("bucket"), F.lit(round_), F.lit(j)] for j in range(LEADERS)]
+    return [F.struct(F.xxhash64(root, *s), F.xxhash64("id", *s), F.col("id")) for s in salts]
+
+
+def _drawn(leader: str | Column, draws: list[Column]) -> Column:
+    return F.array_distinct(F.array(*[F.min_by(leader, d) for d in draws]))
+
+
+def _mixed(members: DataFrame, roots: DataFrame, round_: int) -> DataFrame:
+    """What is left of ``members``, with their new ``root``: buckets that were
+    in several classes, without the leaders of ``round_``, which have met all
+    the others of their bucket."""
+    placed = members.withColumnRenamed("root", "was").join(_sent(roots), "id", "left")
     placed = placed.withColumn("root", F.coalesce("root", "id"))
     several = materialize(
         placed.groupBy("bucket")
-        .agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        .agg(
+            F.min("root").alias("least"),
+            F.max("root").alias("most"),
+            _drawn("id", _draws(round_, "was")).alias("led"),
+        )
         .filter("least < most")
-        .select("bucket"),
+        .select("bucket", "led"),
         "several",
     )
-    mixed = materialize(placed.join(_sent(several), "bucket"), "members")
+    rest = placed.join(_sent(several), "bucket").filter(~F.array_contains("led", F.col("id")))
+    mixed = materialize(rest.drop("led", "was"), "members")
     discard(several)
     return mixed
 
 
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
-    """``bucket, leaders``: in the first round the least id of each bucket, so
-    that a group of copies meets few leaders; later ``LEADERS`` members drawn
-    by class first, so that a large class does not take all of them."""
-    low = F.lit((1 << 24) - 1)
-    orders = [F.col("id")] if round_ == 0 else []
-    for j in range(LEADERS if round_ else 0):
-        by_class = F.xxhash64("root", F.lit(round_), F.lit(j)).bitwiseAND(F.bitwise_not(low))
-        orders.append(by_class.bitwiseOR(F.xxhash64("id", F.lit(round_), F.lit(j)).bitwiseAND(low)))
+    """``bucket, leaders``, see ``_draws``."""
     leader = F.struct("id", "root", "weight", "marks")
-    return members.groupBy("bucket").agg(
-        F.array_distinct(F.array(*[F.min_by(leader, o) for o in orders])).alias("leaders")
-    )
+    return members.groupBy("bucket").agg(_drawn(leader, _draws(round_)).alias("leaders"))
 
 
 def _candidates(members: DataFrame, round_: int, settings: Settings) -> DataFrame:
@@ -257,11 +272,10 @@ def _candidates(members: DataFrame, round_: int, settings: Settings) -> DataFram
         at = np.flatnonzero((own["root"] != other["root"]) & (lighter >= s * heavier))
         apart = marks(part.column("marks"))[owner[at]] ^ marks(each.field("marks"))[at]
         at = at[_ALIKE[apart].sum(axis=1) >= least]
-        pairs = np.stack((own["id"][at], other["id"][at]), axis=1)
+        a, b = own["id"][at], other["id"][at]
+        pairs = np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1)
         u, v = np.unique(pairs, axis=0).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     met = members.join(_leaders(members, round_), "bucket")
     columns = met.select("id", "root", "weight", "marks", "leaders")
@@ -325,7 +339,7 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     while True:
         roots = materialize(components(links), "roots")
         round_ += 1
-        mixed = _mixed(left, roots)
+        mixed = _mixed(left, roots, round_ - 1)
         discard(left)
         left = mixed
         fresh = _candidates(left, round_, settings).join(tried, ["u", "v"], "left_anti")
