@@ -12,7 +12,9 @@ leader of the band's bucket, by exact weighted Jaccard of their shingles;
 buckets whose members still lie in several classes are dealt again with a few
 other leaders, until a round finds no new link. A member that has led has met
 all of its bucket and leaves it, so no bucket compares a pair twice. Every round
-is linear in the members of the buckets that are left.
+is linear in the members of the buckets that are left. In the buckets that still
+hold several classes then, all pairs of different classes are compared, so every
+pair that shares a band has been met or lies in one class.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from palimpsest.llm.components import components
 from palimpsest.session import discard, fits_broadcast, materialize
 
 LEADERS = 8  # of a bucket, in every round but the first
+BLOCK = 512  # members of a bucket that are compared with as many others at once
 
 _LOWEST = -12  # ranks below 2 ** _LOWEST are one level
 _SEED = np.uint64(0xD1B54A32D192ED03)
@@ -241,17 +244,27 @@ def _leaders(members: DataFrame, round_: int) -> DataFrame:
     return members.groupBy("bucket").agg(_drawn(leader, _draws(round_)).alias("leaders"))
 
 
+def _least_alike(settings: Settings) -> float:
+    """Marks of a pair at the similarity agree with probability ``p``; pairs more
+    than 5 standard deviations below go, which loses one in 3 million."""
+    k, s = settings.marks, settings.similarity
+    p = s + (1 - s) / 4
+    return k * p - 5 * math.sqrt(k * p * (1 - p))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1)
+    u, v = np.unique(pairs, axis=0).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
 def _candidates(members: DataFrame, round_: int, settings: Settings) -> DataFrame:
     """``u, v``: every member with the leaders of its bucket that are of another
-    class and may be similar.
-
-    Weights too far apart rule a pair out. Marks of a pair at the similarity
-    agree with probability ``p``; pairs more than 5 standard deviations below
-    go, which loses one in 3 million.
+    class and may be similar. Weights too far apart rule a pair out, and so do
+    marks, see ``_least_alike``.
     """
     k, s = settings.marks, settings.similarity
-    p = s + (1 - s) / 4
-    least = k * p - 5 * math.sqrt(k * p * (1 - p))
+    least = _least_alike(settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,16 +285,98 @@ def _candidates(members: DataFrame, round_: int, settings: Settings) -> DataFram
         at = np.flatnonzero((own["root"] != other["root"]) & (lighter >= s * heavier))
         apart = marks(part.column("marks"))[owner[at]] ^ marks(each.field("marks"))[at]
         at = at[_ALIKE[apart].sum(axis=1) >= least]
-        a, b = own["id"][at], other["id"][at]
-        pairs = np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1)
-        u, v = np.unique(pairs, axis=0).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        return _pairs(own["id"][at], other["id"][at])
 
     met = members.join(_leaders(members, round_), "bucket")
     columns = met.select("id", "root", "weight", "marks", "leaders")
     return columns.mapInArrow(run, "u long, v long").distinct()
 
 
+def _blocked(members: DataFrame) -> DataFrame:
+    """``members`` once for each pair ``i <= j`` of blocks of their bucket that
+    their ``block`` is in.
+
+    Members of the bucket's largest class have blocks of their own, which are
+    paired only with those of the other members: a large class with a few
+    strays costs in proportion to its members.
+    """
+    classes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = classes.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")
+    )
+    whole = F.col("n") <= BLOCK
+    sizes = sizes.filter("most < n").select(
+        "bucket",
+        F.when(whole, None).otherwise(F.col("main")).alias("main"),
+        F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / BLOCK)).alias("others"),
+        F.when(whole, 0).otherwise(F.ceil(F.col("most") / BLOCK)).alias("mains"),
+    )
+    draw = F.xxhash64("id", "bucket")
+    is_main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    block = F.when(is_main, F.col("others") + F.pmod(draw, "mains")).otherwise(F.pmod(draw, "others"))
+    met = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    dealt = members.join(_sent(materialize(sizes, "sizes")), "bucket")
+    dealt = dealt.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), met - 1)))
+    return dealt.select(
+        "bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
+        "block", "id", "root", "weight", "marks",
+    )
+
+
+def _all_candidates(members: DataFrame, settings: Settings) -> DataFrame:
+    """``u, v``: all pairs of members of a bucket that are of different classes
+    and may be similar, by the rules of ``_candidates``."""
+    k, s = settings.marks, settings.similarity
+    unlike = k - _least_alike(settings)
+    low = np.uint64(0x5555555555555555)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted; a batch may end inside of a pair of blocks.
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            keys = np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            bounds = np.concatenate(([0], edges))
+            yield from _met(rows, bounds)
+            rest = rows.slice(bounds[-1]).to_batches()
+        if rest:
+            rows = pa.Table.from_batches(rest).combine_chunks()
+            yield from _met(rows, np.array([0, rows.num_rows]))
+
+    def _met(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = int(bounds[-1])
+        if not n:
+            return
+        own = {c: rows.column(c).to_numpy()[:n] for c in ("id", "root", "weight", "block", "i", "j")}
+        data = b"".join(rows.column("marks").slice(0, n).to_pylist())
+        marks = np.zeros((n, -(-k // 32) * 8), np.uint8)
+        marks[:, : k // 4] = np.frombuffer(data, np.uint8).reshape(n, k // 4)
+        marks = marks.view(np.uint64)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            same = own["i"][lo] == own["j"][lo]
+            for at in range(lo, hi, 64):
+                one = np.arange(at, min(at + 64, hi))[:, None]
+                two = np.arange(lo, hi)[None, :]
+                light = np.minimum(own["weight"][one], own["weight"][two])
+                heavy = np.maximum(own["weight"][one], own["weight"][two])
+                open_ = (own["root"][one] != own["root"][two]) & (light >= s * heavy)
+                open_ &= (one < two) if same else (own["block"][one] < own["block"][two])
+                x, y = np.nonzero(open_)
+                if not len(x):
+                    continue
+                x, y = x + at, y + lo
+                apart = marks[x] ^ marks[y]
+                apart = np.bitwise_count((apart | apart >> np.uint64(1)) & low)
+                near = apart.sum(axis=1, dtype=np.int64) <= unlike
+                if near.any():
+                    yield _pairs(own["id"][x[near]], own["id"][y[near]])
+
+    dealt = _blocked(members).repartition("bucket", "i", "j")
+    dealt = dealt.sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id, key, class_id, class_key``, narrow.
 
@@ -349,7 +444,15 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
             break
         discard(roots)
         tried, links = tried.union(fresh), links.union(found)
-    discard(left, texts)
+    # A round without a link has only met its leaders.
+    mixed = _mixed(left, roots, round_)
+    if not mixed.isEmpty():
+        fresh = _all_candidates(mixed, settings).join(tried.union(fresh), ["u", "v"], "left_anti")
+        found = materialize(_verified(materialize(fresh, "pairs"), texts, settings), "links")
+        if not found.isEmpty():
+            discard(roots)
+            roots = materialize(components(links.union(found)), "roots")
+    discard(mixed, left, texts)
     placed = ids.join(roots, "id", "left").select(
         "key", "first_doc", F.coalesce("root", "id").alias("root")
     )

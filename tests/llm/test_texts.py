@@ -109,6 +109,48 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def templates(n, pairs):
+    """``n`` texts of 60 places with one of two fillings each, mutual similarity
+    about 0.7 and below 0.8; the last ``pairs`` differ from texts before them in
+    16 places (0.82). What a pair shares, many other texts have too."""
+    draw, codes = random.Random(8), []
+    while len(codes) < n - pairs:
+        code = draw.getrandbits(60)
+        if all((code ^ c).bit_count() > 20 for c in codes):
+            codes.append(code)
+    while len(codes) < n:
+        first = 40 + 7 * (len(codes) - n + pairs)
+        code = codes[first] ^ sum(1 << j for j in draw.sample(range(60), 16))
+        if all((code ^ c).bit_count() > 20 for i, c in enumerate(codes) if i != first):
+            codes.append(code)
+    place = [[[f"{'ab'[v]}{p}x{j}" for j in range(6)] + [f"f{p}x{j}" for j in range(21)] for v in (0, 1)] for p in range(60)]
+    return [" ".join(w for p in range(60) for w in place[p][code >> p & 1]) for code in codes]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_mixed_buckets_are_compared_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    settings, texts = minhash.Settings(), templates(90, 6)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    marks = {r["id"]: r["marks"] for r in minhash._marked(rows, settings).collect()}
+    # Bucket 1 holds all as classes of their own, bucket 2 a large class with
+    # strays, bucket 3 a single class.
+    members = [(1, i, i, 100, bytes(marks[i])) for i in range(90)]
+    members += [(2, i, 0 if i < 84 else i, 100 + i % 50, bytes(marks[i])) for i in range(90)]
+    members += [(3, i, 0, 100, bytes(marks[i])) for i in range(30)]
+    want = set()
+    for b, i, r, w, m in members:
+        for c, j, q, v, n in members:
+            alike = minhash._ALIKE[np.frombuffer(m, np.uint8) ^ np.frombuffer(n, np.uint8)].sum()
+            if b == c and i > j and r != q and min(w, v) >= 0.8 * max(w, v) and alike >= minhash._least_alike(settings):
+                want.add((i, j))
+    assert {(84 + i, 40 + 7 * i) for i in range(6)} <= want
+    table = spark.createDataFrame(members, "bucket long, id long, root long, weight long, marks binary")
+    assert {tuple(r) for r in minhash._all_candidates(table, settings).collect()} == want
+    met = {tuple(r) for r in minhash._candidates(table, 0, settings).collect()}
+    assert not {(84 + i, 40 + 7 * i) for i in range(6)} <= met
+
+
 def test_near_duplicates_with_null_and_repeated_ids_and_no_rows(spark):
     docs = documents(spark, ["a b c", "a b c", "a b c", None], [None, None, 4, None])
     rows = minhash.near_duplicates(docs).collect()
