@@ -178,16 +178,17 @@ def lines(html: str | None) -> list[Line]:
 
     Blocks that are marked as something else (navigation, header, footer,
     sidebar, form, advert, notice, comments, hidden) are left out. If the page
-    marks its article, only lines of the article are given, and those in
-    paragraph-like blocks are ``prose``. If the class names leave nothing of
-    a page, they are not believed.
+    marks containers of its text (article, main, named block), the lines of all
+    of them are given, and those in paragraph-like blocks of the containers of
+    the highest rank are ``prose``. If the class names leave nothing of a page,
+    they are not believed.
     """
     if not html:
         return []
     found = _scan(html, True) or _scan(html, False)
     best = max((rank for _, _, rank, _ in found), default=0)
     return [
-        Line(text, rank > 0 and block in _PROSE, weak)
+        Line(text, rank == best > 0 and block in _PROSE, weak)
         for text, block, rank, weak in found
-        if rank == best
+        if rank > 0 or best == 0
     ]

@@ -46,6 +46,14 @@ def test_marked_blocks_are_left_out():
     assert text('<div class="main-banner-wrap"><p>All there is</p></div>') == ["All there is"]
 
 
+def test_main_text_stays_beside_an_article():
+    html = """<body><div>Site</div><main><h1>Head</h1><p>The whole body of the page.</p>
+    <article><p>A teaser card</p></article></main></body>"""
+    assert text(html) == ["Head", "The whole body of the page.", "A teaser card"]
+    assert [x.prose for x in markup.lines(html)] == [False, False, True]
+    assert text('<div class="post-content"><p>One</p><main><p>Two</p></main></div>out') == ["One", "Two"]
+
+
 def test_shared_lines_go_but_not_from_articles_or_copies(spark):
     def plain(i):
         return f"<div>Home of things</div><p>Only page {i} says so, at some length.</p><p>Follow us all day here</p>"
