@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import (
+    crossalign,
     dac,
     decontaminate,
     importance,
@@ -15,6 +16,7 @@ from palimpsest.llm import (
     minhash,
     packing,
     pagediff,
+    periodic,
     quality,
     sharding,
     urltree,
@@ -87,6 +89,14 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, good))
 
 
+def cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossalign.align(table(spark, sf_dir, "documents"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_kd_sharding": kd_sharding,
@@ -98,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_templates": url_templates,
     "op9_benchmark_leaks": benchmark_leaks,
     "op10_quality_rules": quality_rules,
+    "op12_cross_alignment": cross_alignment,
+    "op13_periodic_runs": periodic_runs,
 }
 
 # Hashed models, alignments, tokenizers and clusterings have no SQL; they are

@@ -33,10 +33,10 @@ class _Words(dict):
     """Ids of ``before + word`` by word. Words that end in signs are put
     together from two entries; what is full takes no more words."""
 
-    def __init__(self, ids, before: str, signs: dict | None):
+    def __init__(self, ids, before: str, signs: dict | None, most: int):
         super().__init__()
         self._ids, self._before, self._signs = ids, before, signs
-        self._joined = 0
+        self._joined, self._most = 0, most
 
     def __missing__(self, word: str) -> bytes:
         letters = word.rstrip(_SIGNS)
@@ -48,7 +48,7 @@ class _Words(dict):
                 self[word] = ids
             return ids
         ids = self._ids(self._before + word)
-        if len(self) < _CACHED_WORDS and len(word) <= _CACHED_CHARS:
+        if len(self) < self._most and len(word) <= _CACHED_CHARS:
             self[word] = ids
         return ids
 
@@ -69,15 +69,15 @@ class _Signs(dict):
 class Encoder:
     """``encode(text)`` gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = _CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model.tokenize
         self._forms = _Signs(self._tokenizer)
-        self._first = _Words(self._word, "", None)
-        self._later = _Words(self._word, " ", self._first)
+        self._first = _Words(self._word, "", None, cached_words)
+        self._later = _Words(self._word, " ", self._first, cached_words)
         self._feed = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
