@@ -18,6 +18,7 @@ from palimpsest.llm import (
     pagediff,
     periodic,
     quality,
+    repeats,
     sharding,
     urltree,
 )
@@ -89,6 +90,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, good))
 
 
+def byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossalign.align(table(spark, sf_dir, "documents"))
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_templates": url_templates,
     "op9_benchmark_leaks": benchmark_leaks,
     "op10_quality_rules": quality_rules,
+    "op11_byte_repeats": byte_repeats,
     "op12_cross_alignment": cross_alignment,
     "op13_periodic_runs": periodic_runs,
 }
