@@ -16,6 +16,8 @@ grows with the corpus is held in one place.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import Encoder, default_path
+from palimpsest.llm.tokens import default_path
 from palimpsest.session import materialize, spread
 
 # Bytes of text whose links are stored together; a longer document is a batch
 # of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 # A tokens of a lane.
 LANE_TOKENS = 1024
-_CACHED_A, _CACHED_B, _CACHED_CHARS = 400_000, 500_000, 64
+_LATIN_END = "\u0250"
 _MARK = "▁"
 
 
@@ -56,69 +58,43 @@ class Pair:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
 
-        self._a = Encoder(path_a, _CACHED_A)
-        self._a._tokenizer.encode_special_tokens = True
-        self._b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self._path_a, self._slow = path_a, None
+        with open(path_a, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
         alphabet = byte_alphabet()
-        size_a = self._a._tokenizer.get_vocab_size()
+        by_id = {i: token for token, i in vocabulary.items()}
         self.bytes_a = [
-            bytes(map(alphabet.__getitem__, self._a._tokenizer.id_to_token(i) or ""))
-            if all(c in alphabet for c in self._a._tokenizer.id_to_token(i) or "")
-            else (self._a._tokenizer.id_to_token(i) or "").encode()
-            for i in range(size_a)
+            bytes(map(alphabet.get, by_id[i])) if set(by_id.get(i, "")) <= alphabet.keys() else b""
+            for i in range(max(by_id) + 1)
         ]
+        # The same vocabulary as ranks, for text whose signs every version of
+        # the pattern's character classes knows.
+        ranks = {token: i for i, token in enumerate(self.bytes_a) if token}
+        self._fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = []
-        inner = False
         for i in range(self._b.get_piece_size()):
             piece = self._b.id_to_piece(i)
-            inner |= _MARK in piece.lstrip(_MARK)
             as_byte = len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">")
             self.bytes_b.append(
                 bytes([int(piece[3:5], 16)]) if as_byte else piece.replace(_MARK, " ").encode()
             )
         self.length_a = np.array([len(b) for b in self.bytes_a], np.int64)
         self.length_b = np.array([len(b) for b in self.bytes_b], np.int64)
-        # No piece crosses a blank, so words may be looked up one by one.
-        self._by_word = not inner
-        self._later: dict[str, bytes | None] = {}
-        self._first: dict[str, bytes | None] = {}
-        self._feed = self._pieces("\n")[4:]
-        self._lead = self._pieces("\n")
-
-    def _pieces(self, text: str) -> bytes:
-        return np.array(self._b.encode(text), "<u4").tobytes()
-
-    def _join(self, ids: bytes, of: list[bytes]) -> bytes:
-        return b"".join(map(of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-    def _word_b(self, word: str, after_feed: bool) -> bytes | None:
-        """B's ids of one word, or none where they are not its bytes."""
-        cache = self._first if after_feed else self._later
-        if after_feed:
-            ids = self._pieces("\n" + word)
-            fits = ids.startswith(self._lead)
-            ids = ids[len(self._lead) :]
-            plain = word.encode()
-        else:
-            ids, fits, plain = self._pieces(word) if word else b"", True, b" " + word.encode()
-        found = ids if fits and self._join(ids, self.bytes_b) == plain else None
-        if len(cache) < _CACHED_B and len(word) <= _CACHED_CHARS:
-            cache[word] = found
-        return found
-
-    def _line(self, line: str, after_feed: bool) -> tuple[bytes, bytes] | None:
-        words = line.split(" ")
-        a, b = [], []
-        for i, word in enumerate(words):
-            first = after_feed and i == 0
-            cache = self._first if first else self._later
-            ids = cache[word] if word in cache else self._word_b(word, first)
-            if ids is None:
-                return None
-            b.append(ids)
-            a.append((self._a._first if first else self._a._later)[word])
-        return b"".join(a), b"".join(b)
+
+    def ids_a(self, text: str) -> np.ndarray:
+        if not text or max(text) < _LATIN_END:
+            return self._fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        if self._slow is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self._path_a)
+            self._slow.encode_special_tokens = True
+        return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids by A of blank and text and by B of the text; none where their
@@ -126,20 +102,14 @@ class Pair:
         none = np.empty(0, np.uint32)
         if not text:
             return none, none
-        words = text.split()
-        gaps = len(words) - 1
-        single = len("".join(words)) + gaps == len(text)
-        if self._by_word and single and text.count(" ") + text.count("\n") == gaps:
-            lines = [self._line(line, i > 0) for i, line in enumerate(text.split("\n"))]
-            if all(lines):
-                a = self._a._feed.join(x[0] for x in lines)
-                b = self._feed.join(x[1] for x in lines)
-                return np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
         plain = (" " + text).encode()
-        a, b = self._a._ids(" " + text), self._pieces(text)
-        if self._join(a, self.bytes_a) != plain or self._join(b, self.bytes_b) != plain:
+        b = self._b.encode(text)
+        if b"".join(map(self.bytes_b.__getitem__, b)) != plain:
+            return none, none
+        a = self.ids_a(" " + text)
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != plain:
             return none, none
-        return np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+        return a, np.array(b, np.uint32)
 
 
 def lockstep(

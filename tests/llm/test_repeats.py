@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import zlib
@@ -172,11 +173,20 @@ def pair():
     return crossalign.Pair(crossalign.default_path(), crossalign.default_pieces())
 
 
+@functools.cache
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(crossalign.default_path())
+    found.encode_special_tokens = True
+    return found
+
+
 def plain_alignment(pair, text):
     """Ids of both sides, links and the group text, pair by pair."""
     if not text:
         return [], [], [], ""
-    a = pair._a._tokenizer.encode(" " + text, add_special_tokens=False).ids
+    a = plain_tokenizer().encode(" " + text, add_special_tokens=False).ids
     b = pair._b.encode(text)
     plain = (" " + text).encode()
     if any(
