@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,28 +37,88 @@ def lcs_length_of(x: Column, y: Column) -> Column:
     return F.pandas_udf(_lengths, "long")(x, y)
 
 
+class _Lengths:
+    """Lengths of longest common subsequences of all heads of two lists.
+
+    Row ``i`` is one integer: bit ``j`` is 0 where the length grows from the
+    first ``j`` to the first ``j + 1`` tokens of ``y``. Every ``step``-th row is
+    kept and the rows between are swept again when asked for, so memory grows
+    with the length of the lists times its square root, in bits.
+    """
+
+    def __init__(self, x, y):
+        self._x, self._full = x, (1 << len(y)) - 1
+        self._where: dict = {}
+        for j, token in enumerate(y):
+            self._where[token] = self._where.get(token, 0) | (1 << j)
+        self._step = max(1, math.isqrt(len(x)))
+        self._kept, row = [], self._full
+        for i in range(len(x)):
+            if i % self._step == 0:
+                self._kept.append(row)
+            row = self._after(row, x[i])
+        if len(x) % self._step == 0:
+            self._kept.append(row)
+        self._first, self._rows = -1, []
+
+    def _after(self, row: int, token) -> int:
+        hit = row & self._where.get(token, 0)
+        return ((row + hit) | (row - hit)) & self._full
+
+    def row(self, i: int) -> int:
+        block = i // self._step
+        if block != self._first:
+            row = self._kept[block]
+            self._first, self._rows = block, [row]
+            begin = block * self._step
+            for token in self._x[begin : begin + self._step - 1]:
+                row = self._after(row, token)
+                self._rows.append(row)
+        return self._rows[i - block * self._step]
+
+    def at(self, i: int, j: int) -> int:
+        """The length for the first ``i`` and the first ``j`` tokens."""
+        return j - (self.row(i) & ((1 << j) - 1)).bit_count()
+
+
+def common_places(x, y) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence.
+
+    Walking back from the ends, a token of ``y`` is left out if the length
+    stays, else one of ``x`` if it stays, else both are a pair.
+    """
+    if len(x) == 0 or len(y) == 0:
+        return []
+    lengths = _Lengths(x, y)
+    pairs, i, j = [], len(x), len(y)
+    while i:
+        grows = ~lengths.row(i) & ((1 << j) - 1)
+        if not grows:
+            break
+        j = grows.bit_length()
+        if lengths.at(i - 1, j) == lengths.at(i, j):
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
 def lcs_words(x, y) -> set:
     """The words of one longest common subsequence of ``x`` and ``y``.
 
     Ties while walking back prefer a step along ``y``.
     """
-    n, m = len(x), len(y)
-    if n == 0 or m == 0:
+    if len(x) == 0 or len(y) == 0:
         return set()
-    codes = {w: i for i, w in enumerate(dict.fromkeys([*x, *y]))}
-    a = np.array([codes[w] for w in x])
-    b = np.array([codes[w] for w in y])
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
-    for i in range(n):
-        diagonal = table[i, :-1] + (b == a[i])
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(diagonal, table[i, 1:]))
+    lengths = _Lengths(x, y)
     found = set()
-    i, j = n, m
+    i, j = len(x), len(y)
     while i and j:
-        if a[i - 1] == b[j - 1]:
+        if x[i - 1] == y[j - 1]:
             found.add(x[i - 1])
             i, j = i - 1, j - 1
-        elif table[i - 1, j] > table[i, j - 1]:
+        elif lengths.at(i - 1, j) > lengths.at(i, j - 1):
             i -= 1
         else:
             j -= 1

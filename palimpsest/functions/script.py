@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions.lcs import common_places
 from palimpsest.functions.shipping import ship
 
 ship(__name__)
@@ -17,12 +18,22 @@ ship(__name__)
 INSERT, DELETE, UPDATE, MOVE = "insert-node", "delete-node", "update-node", "move-tree"
 
 
+# Up to this many edits the frontier of each is kept, the square of it at most.
+_FEW_EDITS = 200
+
+
 def _common(x: list, y: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, found by growing the number
-    of edits: work grows with the length times the edits, not with the square."""
+    """Index pairs of a longest common subsequence.
+
+    Lists that differ by few edits are aligned by growing the number of edits,
+    in time that grows with their length. Beyond that, bit rows of lengths are
+    swept, which need little memory however unlike the lists are. Both walk
+    back by the same rule: a token of ``y`` is left out where that keeps the
+    length, else one of ``x``, else they are a pair.
+    """
     n, m = len(x), len(y)
     reach, past = {1: 0}, []
-    for edits in range(n + m + 1):
+    for edits in range(min(n + m, _FEW_EDITS) + 1):
         past.append(dict(reach))
         for k in range(-edits, edits + 1, 2):
             down = k == -edits or (k != edits and reach[k - 1] < reach[k + 1])
@@ -32,7 +43,7 @@ def _common(x: list, y: list) -> list[tuple[int, int]]:
             reach[k] = i
             if i >= n and i - k >= m:
                 return _walked_back(past, n, m)
-    return []
+    return common_places(x, y)
 
 
 def _walked_back(past: list[dict[int, int]], i: int, j: int) -> list[tuple[int, int]]:
