@@ -2,7 +2,9 @@
 
 The actions carry the usual labels (insert, delete, update, move) but come
 from token positions, counts or alignment, not from a tree matcher, so the
-sequence of a pair can differ from a tree diff. Input: ``pair_id, side, pos, token``.
+sequence of a pair can differ from a tree diff. Sequences and histograms are of
+aligned scripts; token tables (``pair_id, side, pos, token``) become arrays by
+``token_arrays``.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.rows import element_rows
-from palimpsest.functions.script import DELETE, INSERT, UPDATE, edit_script_of
+from palimpsest.functions.script import DELETE, INSERT, MOVE, UPDATE, edit_script_of
 
 
 def _when_side(side: str, value: Column | str) -> Column:
@@ -58,13 +60,22 @@ def moves(tokens: DataFrame) -> DataFrame:
     )
 
 
-def edit_sequences(tokens: DataFrame) -> DataFrame:
-    """``(pair_id, edit_actions)`` in order of position; unchanged pairs have
-    none and are left out."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "action")))
-    return positional_edits(tokens).groupBy("pair_id").agg(
-        F.transform(ordered, lambda x: x["action"]).alias("edit_actions")
-    )
+def token_arrays(tokens: DataFrame) -> DataFrame:
+    """``(pair_id, before, after)``: each side's tokens in order, one row a pair."""
+
+    def side(name: str) -> Column:
+        rows = F.array_sort(F.collect_list(_when_side(name, F.struct("pos", "token"))))
+        return F.transform(rows, lambda x: x["token"]).alias(name)
+
+    return tokens.groupBy("pair_id").agg(side("before"), side("after"))
+
+
+def edit_sequences(pairs: DataFrame, key: str, before: str, after: str, *keep: str) -> DataFrame:
+    """``(key, edit_actions)``: the actions of the aligned token arrays in order,
+    inside the row. Equal pairs have none and are left out."""
+    script = edit_script_of(before, after)
+    rows = pairs.select(key, *keep, F.transform(script, lambda x: x["action"]).alias("edit_actions"))
+    return rows.filter(F.size("edit_actions") > 0)
 
 
 def edit_scripts(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:

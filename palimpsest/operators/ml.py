@@ -12,12 +12,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators import paragraphs
+from palimpsest.operators.vectors import silhouettes_of_labelings
+from palimpsest.session import materialize
+
 # Fixed values of the study.
 SEED = 96
 VECTOR_SIZE = 50
 STEP_SIZE = 0.025
 GRID_SIZES = (5, 10, 20, 40, 50)
 GRID_CLUSTERS = (2, 3, 4, 5, 6, 7)
+GRID_EPOCHS = 40
 
 
 def embed_sequences(
@@ -68,21 +73,30 @@ def squared_silhouette(df: DataFrame, cluster: str = "cluster") -> float:
 
 def grid_silhouettes(
     sequences: DataFrame, key: str, sizes: Iterable[int] = GRID_SIZES,
-    clusters: Iterable[int] = GRID_CLUSTERS, epochs: int = 20, seed: int = SEED,
+    clusters: Iterable[int] = GRID_CLUSTERS, epochs: int = GRID_EPOCHS, seed: int = SEED,
 ) -> DataFrame:
-    """``(vector_size, k, silhouette)`` over the grid; each fit is a
-    distributed job and only its score comes back."""
-    rows = []
+    """``(vector_size, k, silhouette, squared_silhouette)`` over the grid.
+
+    Paragraph vectors are learned once per size; all numbers of clusters are
+    fitted on them and scored in one pass over the distances. Every fit is a
+    distributed job; what comes back is one row per cell.
+    """
+    clusters, cells = sorted(set(clusters)), []
     for size in sizes:
-        vectors = embed_sequences(sequences, key, vector_size=size, epochs=epochs, seed=seed)
-        vectors = with_features(vectors).cache()
+        settings = paragraphs.Settings(vector_size=size, epochs=epochs, seed=seed)
+        _, vectors = paragraphs.fit(sequences, key, settings=settings)
+        labelled = with_features(vectors)
         for k in clusters:
-            model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors)
-            score = ClusteringEvaluator(predictionCol="cluster").evaluate(model.transform(vectors))
-            rows.append((int(size), int(k), float(score)))
-        vectors.unpersist()
+            model = KMeans(k=k, seed=seed, predictionCol=f"k{k}").fit(with_features(vectors))
+            labelled = model.transform(labelled)
+        labelled = materialize(labelled.drop("features"), "labelled")
+        scores = silhouettes_of_labelings(labelled, {f"k{k}": k for k in clusters}, key)
+        cells += [
+            (int(size), int(r["labeling"][1:]), r["silhouette"], r["squared_silhouette"])
+            for r in scores.collect()
+        ]
     return sequences.sparkSession.createDataFrame(
-        rows, "vector_size int, k int, silhouette double"
+        cells, "vector_size int, k int, silhouette double, squared_silhouette double"
     )
 
 

@@ -89,6 +89,15 @@ def with_blocks(df: DataFrame, group: str, key: str, rows_per_block: int = BLOCK
     )
 
 
+def with_whole_blocks(df: DataFrame, key: str, rows_per_block: int = BLOCK_ROWS) -> DataFrame:
+    """The same for a table that is one group: its rows are counted first, so
+    no join on a constant is planned."""
+    blocks = max(1, -(-df.count() // rows_per_block))
+    return df.withColumns(
+        {"blocks": F.lit(blocks), "block": F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")}
+    )
+
+
 def by_block_pairs(
     blocked: DataFrame, group: str, kernel: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], schema: str
 ) -> DataFrame:
@@ -195,7 +204,7 @@ def silhouette(
 
     sums = (
         by_block_pairs(
-            with_blocks(source, "_all", "id", rows_per_block), "_all", kernel, "id long, other long, total double"
+            with_whole_blocks(source, "id", rows_per_block), "_all", kernel, "id long, other long, total double"
         )
         .groupBy("id", "other")
         .agg(F.sum("total").alias("total"))
@@ -220,6 +229,84 @@ def mean_silhouette(df: DataFrame, **names) -> DataFrame:
     return silhouette(df, **names).agg(F.avg("silhouette").alias("silhouette"))
 
 
+def silhouettes_of_labelings(
+    df: DataFrame, labelings: dict[str, int], key: str = "id", vector: str = "vector",
+    rows_per_block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Mean silhouettes of several labelings of the same vectors in one pass.
+
+    ``labelings`` names a column of labels from 0 and their number for each.
+    One row per labeling: ``labeling, rows, silhouette`` with Euclidean and
+    ``squared_silhouette`` with squared distances. The distances of a block
+    pair are computed once and summed per row for all clusters of all
+    labelings together. Empty labels count as no cluster; a labeling with a
+    single cluster has no silhouette.
+    """
+    names = list(labelings)
+    starts = np.cumsum([0, *labelings.values()]).tolist()
+    width = starts[-1]
+    source = df.select(
+        F.lit(0).alias("_all"), F.col(key).alias("id"), F.col(vector).alias("v"),
+        F.array(*[F.col(n).cast("int") for n in names]).alias("own"),
+    )
+
+    def sums(ids, distances: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+        member = np.zeros((len(own), width))
+        for at, start in enumerate(starts[:-1]):
+            member[np.arange(len(own)), start + own[:, at]] = 1
+        both = np.concatenate((distances @ member, (distances * distances) @ member), axis=1)
+        return pd.DataFrame({"id": ids, "t": list(both)})
+
+    def kernel(low: pd.DataFrame, high: pd.DataFrame | None) -> pd.DataFrame:
+        right = low if high is None else high
+        d = _euclidean(_stack(low, "v"), _stack(right, "v"))
+        out = sums(low["id"].to_numpy(), d, np.stack(right["own"]))
+        if high is None:
+            return out
+        back = sums(right["id"].to_numpy(), d.T, np.stack(low["own"]))
+        return pd.concat([out, back], ignore_index=True)
+
+    blocked = with_whole_blocks(source, "id", rows_per_block)
+    parts = by_block_pairs(blocked, "_all", kernel, "id long, t array<double>")
+    totals = parts.groupBy("id").agg(
+        F.array(*[F.sum(F.get("t", F.lit(i))) for i in range(2 * width)]).alias("t")
+    )
+    # A number per label of each labeling: parameters, not data.
+    members = df.agg(
+        *[
+            F.count_if(F.col(n) == k).alias(f"{n}_{k}")
+            for n, count in labelings.items()
+            for k in range(count)
+        ]
+    ).first()
+    rows = totals.join(source.select("id", "own"), "id")
+    scored = []
+    for at, name in enumerate(names):
+        n_of = [members[f"{name}_{k}"] for k in range(labelings[name])]
+        own = F.get("own", F.lit(at))
+        n_own = F.get(F.array(*[F.lit(n) for n in n_of]), own)
+
+        def value(shift: int) -> Column:
+            def total(k: int) -> Column:
+                return F.get("t", F.lit(shift + starts[at] + k))
+
+            a = F.get("t", F.lit(shift + starts[at]) + own) / F.greatest(n_own - 1, F.lit(1))
+            others = [F.when(own != k, total(k) / n) for k, n in enumerate(n_of) if n]
+            b = F.array_min(F.array(*others))
+            most = F.greatest(a, b)
+            return F.when(b.isNull(), None).when((n_own == 1) | (most == 0), 0.0).otherwise((b - a) / F.when(most > 0, most))
+
+        scored.append(
+            F.struct(
+                F.lit(name).alias("labeling"),
+                F.count(F.lit(1)).alias("rows"),
+                F.avg(value(0)).alias("silhouette"),
+                F.avg(value(width)).alias("squared_silhouette"),
+            )
+        )
+    return rows.agg(F.array(*scored).alias("s")).select(F.inline("s"))
+
+
 def bounded_centers(centers: DataFrame, cluster: str = "cluster") -> dict[int, list[float]]:
     """Model centers as plain numbers; refuses more than a broadcast's worth."""
     rows = centers.limit(BROADCAST_ROWS + 1).collect()

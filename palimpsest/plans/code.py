@@ -9,6 +9,7 @@ from palimpsest.operators import abstraction as A
 from palimpsest.operators import code as C
 from palimpsest.operators import edits as E
 from palimpsest.operators.entries import change_entries
+from palimpsest.plans.aligned import ALIGNED_SQL
 from palimpsest.plans.registry import query
 from palimpsest.plans.views import (
     CODE_IDIOM_LIMITS, CODE_TOKENS_SQL, DOC_TOKENS_SQL, SOURCE_SQL, code_tokens, document_tokens,
@@ -266,14 +267,22 @@ def positional_edits(t):
     return E.positional_edits(code_tokens(t)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("edit_sequences", f"{_C}, {_POSITIONAL} SELECT pair_id, string_agg(action, ' ' ORDER BY pos) AS edit_actions FROM e GROUP BY pair_id")
+_SCRIPTS = f"""WITH RECURSIVE {CODE_TOKENS_SQL},
+lists AS (SELECT b.pair_id, b.w AS s, a.w AS g FROM code_arrays b JOIN code_arrays a USING (pair_id) WHERE b.side = 'before' AND a.side = 'after'), {ALIGNED_SQL}"""
+
+
+def code_sequences(t):
+    return E.edit_sequences(E.token_arrays(code_tokens(t)), "pair_id", "before", "after")
+
+
+@query("edit_sequences", f"{_SCRIPTS} SELECT pair_id, string_agg(action, ' ' ORDER BY step) AS edit_actions FROM script GROUP BY pair_id")
 def edit_sequences(t):
-    return E.edit_sequences(code_tokens(t)).withColumn("edit_actions", F.concat_ws(" ", "edit_actions"))
+    return code_sequences(t).withColumn("edit_actions", F.concat_ws(" ", "edit_actions"))
 
 
-@query("action_histogram", f"{_C}, {_POSITIONAL} SELECT action, count(*) AS count FROM e GROUP BY action")
+@query("action_histogram", f"{_SCRIPTS} SELECT action, count(*) AS count FROM script GROUP BY action")
 def action_histogram(t):
-    return E.action_histogram(E.edit_sequences(code_tokens(t)))
+    return E.action_histogram(code_sequences(t))
 
 
 _WORD_LISTS = """w AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> ''), []) AS w FROM documents)"""

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import edits as E
 from palimpsest.operators import graph as R
-from palimpsest.operators import ml
+from palimpsest.operators import ml, paragraphs
 from palimpsest.operators import vectors as V
+from palimpsest.functions.text import words
+from palimpsest.plans.aligned import ALIGNED_SQL
 from palimpsest.plans.registry import query
-from palimpsest.plans.views import PAIRS_SQL, VECTORS_SQL, pair_tokens, pairs, vectors
+from palimpsest.plans.views import PAIRS_SQL, VECTORS_SQL, pairs, vectors
+from palimpsest.session import materialize
 
 _W = f"WITH {VECTORS_SQL}"
 _COS = "1 - list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector)))"
@@ -121,35 +124,34 @@ def labels_attached(t):
 
 
 def sequences(t):
-    return E.edit_sequences(pair_tokens(t))
+    lists = pairs(t).select("pair_id", words("source").alias("before"), words("target").alias("after"))
+    return E.edit_sequences(lists, "pair_id", "before", "after")
 
 
-_ACTIONS = f"""WITH {PAIRS_SQL}, w AS (SELECT pair_id, string_split(source, ' ') AS s, string_split(target, ' ') AS g FROM pairs),
-p AS (SELECT pair_id, s, g, unnest(range(1, greatest(len(s), len(g)) + 1)) AS i FROM w),
-x AS (SELECT pair_id, i, CASE WHEN i > len(s) THEN 'insert-node' WHEN i > len(g) THEN 'delete-node' WHEN s[i] <> g[i] THEN 'update-node' END AS action FROM p)"""
+_ACTIONS = f"""WITH RECURSIVE {PAIRS_SQL}, lists AS (SELECT pair_id, string_split(source, ' ') AS s, string_split(target, ' ') AS g FROM pairs), {ALIGNED_SQL}"""
+_LABELS = [E.INSERT, E.DELETE, E.UPDATE, E.MOVE]
+_COUNTS = ", ".join(f"count(*) FILTER (action = '{a}') AS {a.replace('-', '_')}" for a in _LABELS)
 
 
-@query("text_edit_sequences", f"{_ACTIONS} SELECT pair_id, string_agg(action, ' ' ORDER BY i) AS edit_actions FROM x WHERE action IS NOT NULL GROUP BY pair_id")
+@query("text_edit_sequences", f"{_ACTIONS} SELECT pair_id, string_agg(action, ' ' ORDER BY step) AS edit_actions FROM script GROUP BY pair_id")
 def text_edit_sequences(t):
     return sequences(t).withColumn("edit_actions", F.concat_ws(" ", "edit_actions"))
 
 
-@query("cluster_action_histogram", f"""{_ACTIONS} SELECT pair_id % 5 AS cluster, action, count(*) AS count FROM x WHERE action IS NOT NULL GROUP BY ALL""")
+@query("cluster_action_histogram", f"{_ACTIONS} SELECT pair_id % 5 AS cluster, action, count(*) AS count FROM script GROUP BY ALL")
 def cluster_action_histogram(t):
     return E.action_histogram(sequences(t).withColumn("cluster", F.col("pair_id") % 5), "cluster")
 
 
-@query("cluster_action_pivot", f"""{_ACTIONS} SELECT pair_id % 5 AS cluster, count(*) FILTER (action = 'insert-node') AS insert_node,
-  count(*) FILTER (action = 'delete-node') AS delete_node, count(*) FILTER (action = 'update-node') AS update_node FROM x WHERE action IS NOT NULL GROUP BY ALL""")
+@query("cluster_action_pivot", f"{_ACTIONS} SELECT pair_id % 5 AS cluster, {_COUNTS} FROM script GROUP BY ALL")
 def cluster_action_pivot(t):
-    rows = sequences(t).withColumn("cluster", F.col("pair_id") % 5)
-    return ml.action_pivot(rows, "cluster", [E.INSERT, E.DELETE, E.UPDATE])
+    return ml.action_pivot(sequences(t).withColumn("cluster", F.col("pair_id") % 5), "cluster", _LABELS)
 
 
-@query("count_embedding", f"""{_ACTIONS}, c AS (SELECT pair_id, count(*) FILTER (action = 'insert-node') AS a, count(*) FILTER (action = 'delete-node') AS b,
-  count(*) FILTER (action = 'update-node') AS c FROM x WHERE action IS NOT NULL GROUP BY pair_id)
-SELECT pair_id, round(list_sum(list_transform([a, b, c], lambda y: y / sqrt(a * a + b * b + c * c))), 6) AS total,
-  round(greatest(a, b, c) / sqrt(a * a + b * b + c * c), 6) AS largest FROM c""")
+@query("count_embedding", f"""{_ACTIONS}, c AS (SELECT pair_id, {_COUNTS} FROM script GROUP BY pair_id),
+v AS (SELECT pair_id, [insert_node, delete_node, update_node, move_tree] AS v FROM c)
+SELECT pair_id, round(list_sum(v) / sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])), 6) AS total,
+  round(list_max(v) / sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])), 6) AS largest FROM v""")
 def count_embedding(t):
     out = ml.count_sequences(sequences(t), "pair_id")
     return out.select(
@@ -172,9 +174,34 @@ def gaussian_clusters(t):
     return ml.gaussian_clusters(vectors(t).drop("cluster"), 3).select("id", "cluster")
 
 
+@query("paragraph_vectors", f"{_ACTIONS} SELECT DISTINCT pair_id, pair_id % 10 <> 0 AS fitted, 50 AS n, true AS directed FROM script")
+def paragraph_vectors(t):
+    """Vectors of all pairs from a model that saw nine tenths of them."""
+    rows = materialize(sequences(t), "sequences")
+    model, _ = paragraphs.fit(rows.filter("pair_id % 10 <> 0"), "pair_id")
+    fitted = (F.col("pair_id") % 10 != 0).alias("fitted")
+    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return model.infer(rows, "pair_id").select(
+        "pair_id", fitted, F.size("vector").alias("n"), ((length > 0) & (length < 1e6)).alias("directed"))
+
+
+# Learned scores have no SQL; the cells and their bounds do.
 @query("silhouette_grid")
 def silhouette_grid(t):
-    return ml.grid_silhouettes(sequences(t), "pair_id", sizes=(5, 10), clusters=(2, 3), epochs=3)
+    return ml.grid_silhouettes(materialize(sequences(t), "sequences"), "pair_id")
+
+
+@query("labeling_silhouettes", f"""{_W}, l AS (SELECT id, cluster AS a, id % 3 AS b FROM vectors),
+d AS (SELECT x.id AS i, y.id AS j, list_distance(x.vector, y.vector) AS d FROM vectors x JOIN vectors y ON x.id <> y.id),
+u AS (SELECT 'cluster' AS labeling, id, a AS own FROM l UNION ALL SELECT 'third', id, b FROM l),
+m AS (SELECT p.labeling, d.i, p.own, q.own AS other, avg(d) AS e, avg(d * d) AS s FROM u p JOIN d ON d.i = p.id JOIN u q ON q.labeling = p.labeling AND q.id = d.j GROUP BY ALL),
+r AS (SELECT labeling, i, max(e) FILTER (own = other) AS ae, min(e) FILTER (own <> other) AS be, max(s) FILTER (own = other) AS asq, min(s) FILTER (own <> other) AS bsq FROM m GROUP BY ALL)
+SELECT labeling, count(*) AS rows, round(avg(CASE WHEN ae IS NULL THEN 0 ELSE (be - ae) / greatest(ae, be) END), 6) AS silhouette,
+  round(avg(CASE WHEN asq IS NULL THEN 0 ELSE (bsq - asq) / greatest(asq, bsq) END), 6) AS squared_silhouette FROM r GROUP BY labeling""")
+def labeling_silhouettes(t):
+    rows = vectors(t).withColumn("third", F.col("id") % 3)
+    out = V.silhouettes_of_labelings(rows, {"cluster": 10, "third": 3})
+    return out.withColumns({c: F.round(c, 6) for c in ("silhouette", "squared_silhouette")})
 
 
 # Signs and ties of components are free; with all of them a row keeps its length.

@@ -418,12 +418,3 @@ def vectors(t: Tables) -> DataFrame:
 
 VECTORS_SQL = """
 vectors AS (SELECT vec_id AS id, label::BIGINT AS cluster, embedding::DOUBLE[] AS vector FROM embeddings)"""
-
-
-def pair_tokens(t: Tables) -> DataFrame:
-    """The two texts of each pair as a token table."""
-    sides = F.explode(F.array(
-        F.struct(F.lit("before").alias("side"), words("source").alias("w")),
-        F.struct(F.lit("after").alias("side"), words("target").alias("w"))))
-    return pairs(t).select("pair_id", sides.alias("s")).select(
-        "pair_id", "s.side", F.posexplode("s.w").alias("pos", "token"))

@@ -124,5 +124,8 @@ def test_edits(spark):
         ("after", p, w) for p, w in enumerate("b a c d".split())]
     df = spark.createDataFrame([(1, *r) for r in rows], "pair_id long, side string, pos int, token string")
     assert {(r["token"], r["action"]) for r in E.bag_edits(df).collect()} == {("d", "insert-node")}
-    assert E.edit_sequences(df).first()["edit_actions"] == ["update-node", "update-node", "insert-node"]
+    arrays = E.token_arrays(df)
+    assert arrays.first().asDict() == {"pair_id": 1, "before": ["a", "b", "c"], "after": ["b", "a", "c", "d"]}
+    actions = E.edit_sequences(arrays, "pair_id", "before", "after").first()["edit_actions"]
+    assert actions == ["move-tree", "insert-node"]
     assert {r["token"] for r in E.moves(df).collect()} == {"a", "b"}
