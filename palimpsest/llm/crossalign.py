@@ -32,7 +32,7 @@ from palimpsest.session import materialize, spread
 
 # Bytes of text whose links are stored together; a longer document is a batch
 # of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 # A tokens of a lane.
 LANE_TOKENS = 1024
 _LATIN_END = "\u0250"

@@ -31,7 +31,7 @@ from palimpsest.operators.ordering import with_index
 from palimpsest.session import materialize, spread
 
 # Text bytes of a batch; a longer document is a batch of its own.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 _SEEDS = np.arange(256, dtype=np.uint64)
 _U32 = np.uint64(32)
