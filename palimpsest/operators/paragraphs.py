@@ -60,6 +60,14 @@ def _start_vectors(keys: np.ndarray, size: int) -> np.ndarray:
     return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53 - 0.5) / size
 
 
+def _add(to: np.ndarray, where: np.ndarray, what: np.ndarray) -> None:
+    """``to[where] += what`` with repeated places."""
+    order = np.argsort(where, kind="stable")
+    where = where[order]
+    first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    to[where[first]] += np.add.reduceat(what[order], first, axis=0)
+
+
 def _train(
     rows: np.ndarray, words: np.ndarray, docs: np.ndarray, matrix: np.ndarray, noise: np.ndarray,
     rates: np.ndarray, rng: np.random.Generator, settings: Settings, learn: bool,
@@ -84,9 +92,10 @@ def _train(
                 # The pairs of a step do not see each other: a word or row met
                 # often in it moves by the mean of its pulls, times a few.
                 damp = np.maximum(1, np.bincount(targets.ravel()) / _PULLS)[targets]
-                np.add.at(matrix, targets, (error / damp)[:, :, None] * v[:, None, :])
+                pulls = (error / damp)[:, :, None] * v[:, None, :]
+                _add(matrix, targets.ravel(), pulls.reshape(-1, pulls.shape[2]))
             damp = np.maximum(1, np.bincount(r) / _PULLS)[r]
-            np.add.at(docs, r, np.einsum("bk,bkd->bd", error / damp[:, None], w))
+            _add(docs, r, np.einsum("bk,bkd->bd", error / damp[:, None], w))
 
 
 def _pairs(sequences: pd.Series, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +215,9 @@ def fit(
     )
     matrix = np.zeros((len(words), size))
     rates = np.linspace(settings.alpha, settings.min_alpha, settings.epochs)
-    for number, share in enumerate(np.array_split(rates, max(1, min(settings.rounds, settings.epochs)))):
+    # A single part has nothing to average with.
+    rounds = max(1, min(settings.rounds, settings.epochs)) if parts > 1 else 1
+    for number, share in enumerate(np.array_split(rates, rounds)):
         fields = f"_key {kind}, _words array<string>, _start long, _part int, _vector array<double>"
         trained = materialize(
             state.groupBy("_part").applyInPandas(

@@ -8,7 +8,7 @@ cluster that holds a third of the rows is just more blocks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.shipping import ship
-from palimpsest.session import BROADCAST_ROWS, dictionary_join
+from palimpsest.operators.ordering import with_group_index
+from palimpsest.session import BROADCAST_ROWS, dictionary_join, materialize
 
 ship(__name__)
 
@@ -130,20 +131,100 @@ def far_weights(x: np.ndarray, y: np.ndarray, theta: float, weighted: bool) -> n
     return np.where(far, distance, 0.0) if weighted else far.astype(np.float64)
 
 
-def distant_pairs(
-    df: DataFrame, theta: float, group: str = "cluster", key: str = "id", vector: str = "vector",
-    rows_per_block: int = BLOCK_ROWS,
+# ---- threshold joins between bounded blocks ---------------------------------
+
+# Rows whose distances bound those of whole blocks.
+PIVOTS = 16
+_SLACK = 1e-9
+
+
+def _lifted(u: np.ndarray) -> np.ndarray:
+    """Unit vectors with one more coordinate that is 1 for a zero vector, so
+    that half the squared distance of two rows is their cosine distance unless
+    both are zero."""
+    return np.concatenate((u, (~u.any(axis=1))[:, None].astype(np.float64)), axis=1)
+
+
+def pivot_blocks(
+    source: DataFrame, group: str, key: str, rows_per_block: int = BLOCK_ROWS, pivots: int = PIVOTS
+) -> tuple[DataFrame, DataFrame]:
+    """Rows in blocks of neighbours, and bounds for all pairs of blocks.
+
+    ``source`` has unit vectors in ``_u``. A few rows drawn by hash are pivots;
+    the rows of a group are put in order of their nearest pivot and the
+    distance to it and cut into blocks. Returns the rows with ``block`` and
+    ``(group, _lo, _hi, least, most)``: what the distance of a row of one block
+    and a row of the other is at least and at most, by the triangle inequality.
+    """
+    drawn = source.orderBy(F.xxhash64(key), key).limit(pivots).select("_u").collect()
+    centers = _lifted(np.array([r["_u"] for r in drawn], np.float64)) if drawn else np.zeros((1, 1))
+    kind = source.schema[key].dataType.simpleString()
+    group_kind = source.schema[group].dataType.simpleString()
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                u = _lifted(_stack(pdf, "_u"))
+                far = np.sqrt(np.maximum(0, ((u[:, None, :] - centers[None]) ** 2).sum(axis=2)))
+                pdf["_far"] = list(far)
+                pdf["_cell"] = far.argmin(axis=1).astype(np.int32)
+                pdf["_zero"] = u[:, -1] > 0
+                yield pdf
+
+    schema = f"{group} {group_kind}, {key} {kind}, _u array<double>, _far array<double>, _cell int, _zero boolean"
+    measured = source.select(group, key, "_u").mapInPandas(measure, schema)
+    near = F.get("_far", F.col("_cell"))
+    numbered = with_group_index(measured, [group], [F.col("_cell"), near, F.col(key)], "_nth")
+    rows = numbered.withColumn("block", F.floor(F.col("_nth") / rows_per_block).cast("int"))
+    ends = [F.get("_far", F.lit(i)) for i in range(len(centers))]
+    bounds = rows.groupBy(group, "block").agg(
+        F.array(*[F.min(e) for e in ends]).alias("low"),
+        F.array(*[F.max(e) for e in ends]).alias("high"),
+        F.max("_zero").alias("zero"),
+    )
+    bounds = materialize(bounds, "bounds")
+    a, b = bounds.alias("a"), bounds.alias("b")
+    both = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.block") <= F.col("b.block")))
+    apart = F.zip_with("a.low", "b.high", lambda x, y: x - y)
+    behind = F.zip_with("b.low", "a.high", lambda x, y: x - y)
+    reach = F.zip_with("a.high", "b.high", lambda x, y: x + y)
+    least = F.greatest(F.lit(0.0), F.array_max(apart), F.array_max(behind))
+    most = F.array_min(reach)
+    zeros = F.col("a.zero") & F.col("b.zero")
+    half = [x * x / 2 for x in (least, most)]
+    pairs = both.select(
+        F.col(f"a.{group}").alias(group),
+        F.col("a.block").alias("_lo"),
+        F.col("b.block").alias("_hi"),
+        (F.when(zeros, F.least(half[0], F.lit(1.0))).otherwise(half[0]) - _SLACK).alias("least"),
+        (F.when(zeros, F.greatest(half[1], F.lit(1.0))).otherwise(half[1]) + _SLACK).alias("most"),
+    )
+    return rows.select(group, key, "_u", "block"), pairs
+
+
+def threshold_pairs(
+    df: DataFrame, theta: float, near: bool, group: str = "cluster", key: str = "id",
+    vector: str = "vector", rows_per_block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(group, id_a, id_b, distance)`` with id_a < id_b inside a group whose
-    cosine distance exceeds ``theta``. Meant for a selective threshold; the
-    graph operators use sums per row instead of this table."""
+    cosine distance is above ``theta``, or with ``near`` not above it.
+
+    Only pairs of blocks whose bounds allow such a pair meet; the others are
+    skipped without a distance. Keys should differ inside a group.
+    """
     source = df.select(group, key, unit(vector).alias("_u"))
+    rows, pairs = pivot_blocks(source, group, key, rows_per_block)
+    wanted = pairs.filter(F.col("least") <= theta if near else F.col("most") > theta)
+    sides = wanted.select(
+        group, "_lo", "_hi", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("block")
+    )
 
-    def kernel(low: pd.DataFrame, high: pd.DataFrame | None) -> pd.DataFrame:
-        right = low if high is None else high
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["_lo"].iat[0], pdf["_hi"].iat[0]
+        low, right = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
         distance = 1.0 - _stack(low, "_u") @ _stack(right, "_u").T
-        hit = distance > theta
-        if high is None:
+        hit = distance <= theta if near else distance > theta
+        if lo == hi:
             hit &= np.triu(np.ones_like(hit, dtype=bool), 1)
         i, j = np.nonzero(hit)
         a, b = low[key].to_numpy()[i], right[key].to_numpy()[j]
@@ -156,8 +237,18 @@ def distant_pairs(
             }
         )
 
-    schema = f"{group} long, id_a long, id_b long, distance double"
-    return by_block_pairs(with_blocks(source, group, key, rows_per_block), group, kernel, schema)
+    met = rows.join(sides, [group, "block"]).groupBy(group, "_lo", "_hi")
+    return met.applyInPandas(kernel, f"{group} long, id_a long, id_b long, distance double")
+
+
+def distant_pairs(
+    df: DataFrame, theta: float, group: str = "cluster", key: str = "id", vector: str = "vector",
+    rows_per_block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``(group, id_a, id_b, distance)`` with id_a < id_b inside a group whose
+    cosine distance exceeds ``theta``. Meant for a selective threshold; the
+    graph operators use sums per row instead of this table."""
+    return threshold_pairs(df, theta, False, group, key, vector, rows_per_block)
 
 
 def _euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
