@@ -7,6 +7,8 @@ appearances inside a side (null = textual order).
 
 from __future__ import annotations
 
+import keyword
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from palimpsest.session import dictionary_join
 IDIOM_LIMITS = {"identifier": 200, "float": 50, "int": 50, "string": 200}
 
 _SIDE = 1 << 32
+_NAME = r"(?U)^[^\W\d]\w*$"
 _PREFIX_PATTERN = "^(IDENTIFIER|FLOAT|INT|STR|F_STR)_(0|[1-9][0-9]{0,8})$"
 
 
@@ -214,9 +217,14 @@ def invert_map(m: Column | str) -> Column:
 
 
 def distinct_identifiers(tokens: DataFrame) -> DataFrame:
-    """Per pair, all names in use on either side."""
+    """Per pair, all names in use on either side.
+
+    A name that stays as it is has no class: names of arguments in calls, of
+    modules and aliases in imports, and of caught exceptions.
+    """
+    plain = F.col("cls").isNull() & F.col("token").rlike(_NAME) & ~F.col("token").isin(*keyword.kwlist)
     return (
-        tokens.filter(F.col("cls") == "identifier")
+        tokens.filter((F.col("cls") == "identifier") | plain)
         .groupBy("pair_id")
         .agg(F.sort_array(F.collect_set("token")).alias("identifiers"))
     )

@@ -183,9 +183,22 @@ def attach_contents(changes: DataFrame, contents: DataFrame) -> DataFrame:
 
 def attach_contents_with_forks(changes: DataFrame, contents: DataFrame) -> DataFrame:
     """As :func:`attach_contents`, trying the next repository of a change when
-    one lacks a side; the earliest that has both is taken."""
-    answers = _answers(_requests(changes, F.col("repositories")), contents)
-    best = answers.groupBy(*_CHANGE_ID).agg(
-        F.min_by(F.struct("repository", "code_before", "code_after"), "choice").alias("b")
+    one lacks a side; the earliest that has both is taken.
+
+    The choice needs only keys, so no text of a repository that is not chosen
+    is shuffled: the contents' keys decide, then the texts of the two chosen
+    files of each change are fetched.
+    """
+    requests = _requests(changes, F.col("repositories"))
+    keys = contents.filter("status = 200 AND text IS NOT NULL").select("repository", "sha", "path")
+    there = requests.join(keys, ["repository", "sha", "path"], "left_semi")
+    both = there.groupBy(*_CHANGE_ID, "choice").agg(
+        F.first("repository").alias("repository"), F.count_distinct("side").alias("sides")
+    )
+    chosen = (
+        both.filter("sides = 2")
+        .groupBy(*_CHANGE_ID)
+        .agg(F.min_by("repository", "choice").alias("repository"))
+        .select(*_CHANGE_ID, F.array("repository").alias("repositories"))
     )
-    return with_urls(best.select(*_CHANGE_ID, "b.*"))
+    return attach_contents(chosen, contents)

@@ -9,12 +9,12 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, CountVectorizer, Normalizer, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import paragraphs
-from palimpsest.operators.vectors import silhouettes_of_labelings
-from palimpsest.session import materialize
+from palimpsest.operators.vectors import dot, silhouettes_of_labelings
+from palimpsest.session import fits_broadcast, materialize
 
 # Fixed values of the study.
 SEED = 96
@@ -64,6 +64,43 @@ def gaussian_clusters(df: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     return model.transform(features).drop("features", "probability")
 
 
+def gaussian_shares(df: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+    """Add ``cluster`` and ``shares``, the row's share of each component."""
+    features = with_features(df)
+    model = GaussianMixture(k=k, seed=seed, predictionCol="cluster").fit(features)
+    shares = vector_to_array("probability")
+    return model.transform(features).withColumn("shares", shares).drop("features", "probability")
+
+
+def squared_silhouette_row(df: DataFrame, cluster: str = "cluster", vector: str = "vector") -> DataFrame:
+    """``silhouette``: the mean one with squared distances, one row, in linear
+    work. The squared distances of a row to a cluster follow from the cluster's
+    size, vector sum and sum of squared lengths."""
+    row = df.select(F.col(cluster).alias("own"), F.col(vector).alias("v"), dot(vector, vector).alias("s"))
+    sums = row.select("own", "s", F.posexplode("v").alias("i", "x")).groupBy("own", "i").agg(F.sum("x").alias("x"))
+    sums = sums.groupBy("own").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("u")
+    )
+    sizes = row.groupBy("own").agg(F.count("*").alias("n"), F.sum("s").alias("q"))
+    clusters = materialize(sizes.join(sums, "own"), "clusters")
+    if not fits_broadcast(clusters):
+        raise ValueError("too many clusters")
+    every = clusters.agg(F.collect_list(F.struct("own", "n", "q", "u")).alias("c"))
+
+    def mean(c: Column, others: bool) -> Column:
+        total = c["n"] * F.col("s") - 2 * dot("v", c["u"]) + c["q"]
+        return total / (c["n"] if others else F.greatest(c["n"] - 1, F.lit(1)))
+
+    # One row of bounded size beside every row.
+    rows = row.join(F.broadcast(every))
+    mine = F.get(F.filter("c", lambda c: c["own"] == F.col("own")), F.lit(0))
+    least = F.array_min(F.transform(F.filter("c", lambda c: c["own"] != F.col("own")), lambda c: mean(c, True)))
+    rows = rows.select(mean(mine, False).alias("a"), least.alias("b"), mine["n"].alias("n"))
+    most = F.greatest("a", "b")
+    value = F.when((F.col("n") == 1) | (most == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.when(most > 0, most))
+    return rows.agg(F.avg(value).alias("silhouette"))
+
+
 def squared_silhouette(df: DataFrame, cluster: str = "cluster") -> float:
     """Silhouette with squared distances: linear work, another number than the
     Euclidean one."""

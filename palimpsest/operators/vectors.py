@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.shipping import ship
 from palimpsest.operators.ordering import with_group_index
-from palimpsest.session import BROADCAST_ROWS, dictionary_join, materialize
+from palimpsest.session import dictionary_join, fits_broadcast, materialize
 
 ship(__name__)
 
@@ -55,27 +55,83 @@ def unit(a: Column | str) -> Column:
     return F.transform(a, lambda x: x / n)
 
 
-def centroids(df: DataFrame, dims: int, cluster: str = "cluster", vector: str = "vector") -> DataFrame:
-    """Mean vector per cluster."""
-    means = [F.avg(F.get(vector, F.lit(i))) for i in range(dims)]
-    return df.groupBy(cluster).agg(F.array(*means).alias("center"))
+def centroids(df: DataFrame, cluster: str = "cluster", vector: str = "vector") -> DataFrame:
+    """``(cluster, center)``: the mean vector per cluster."""
+    means = (
+        df.select(cluster, F.posexplode(vector).alias("_i", "_x"))
+        .groupBy(cluster, "_i")
+        .agg(F.avg("_x").alias("_x"))
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("_i", "_x")))
+    return means.groupBy(cluster).agg(F.transform(ordered, lambda p: p["_x"]).alias("center"))
+
 
+# Centers met together by a block of rows.
+CENTER_BLOCK = 512
 
-def assign_nearest(df: DataFrame, centers: dict[int, list[float]], vector: str = "vector") -> DataFrame:
-    """Add ``nearest``, the center at the smallest distance (lowest id on ties).
 
-    ``centers`` are the parameters of a fitted model: k vectors, no data.
+def _nearest(x: np.ndarray, centers: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Name and distance of the nearest center, the least name on ties.
+
+    Centers are ordered by length. Two vectors are at least as far apart as
+    their lengths differ, so a row skips all blocks of centers whose lengths
+    lie further from its own than the best center found so far.
     """
-    options = F.array(
-        *[
-            F.struct(
-                squared_distance(vector, F.array(*[F.lit(float(x)) for x in center])).alias("d"),
-                F.lit(int(k)).alias("k"),
-            )
-            for k, center in centers.items()
-        ]
+    lengths, own = np.linalg.norm(centers, axis=1), np.linalg.norm(x, axis=1)
+    order = np.lexsort((names, lengths))
+    centers, names, lengths = centers[order], names[order], lengths[order]
+    starts = np.arange(0, len(centers), CENTER_BLOCK)
+    low, high = lengths[starts], lengths[np.minimum(starts + CENTER_BLOCK, len(centers)) - 1]
+    gap = np.maximum(0, np.maximum(low[None] - own[:, None], own[:, None] - high[None]))
+    best, found = np.full(len(x), np.inf), np.zeros(len(x), names.dtype)
+    # Nearest blocks first, so that most others need not be met.
+    turn = np.argsort(gap, axis=1, kind="stable")
+    for nth in range(len(starts)):
+        block = turn[:, nth]
+        open_ = gap[np.arange(len(x)), block] <= best * (1 + 1e-12)
+        if not open_.any():
+            break
+        for b in np.unique(block[open_]):
+            rows = np.flatnonzero(open_ & (block == b))
+            c = centers[starts[b] : starts[b] + CENTER_BLOCK]
+            d = np.empty((len(rows), len(c)))
+            for i, row in enumerate(x[rows]):
+                d[i] = np.sqrt(((c - row) ** 2).sum(axis=1))
+            least = d.min(axis=1)
+            name = np.where(d == least[:, None], names[starts[b] : starts[b] + CENTER_BLOCK], names.max()).min(axis=1)
+            better = (least < best[rows]) | ((least == best[rows]) & (name < found[rows]))
+            best[rows[better]], found[rows[better]] = least[better], name[better]
+    return found, best
+
+
+def nearest_centers(
+    df: DataFrame, centers: DataFrame, cluster: str = "cluster", vector: str = "vector"
+) -> DataFrame:
+    """Add ``nearest``, the name (a whole number) of the center at the smallest
+    Euclidean distance, the least on ties; null for a null vector and without
+    centers.
+
+    ``centers`` are the parameters of a model (``cluster, center``). They are
+    sent to every task after a check of their size; more than that is an error.
+    """
+    named = centers.select(F.col(cluster).cast("long").alias("k"), F.col("center").cast("array<double>").alias("c"))
+    if not fits_broadcast(named):
+        raise ValueError("too many centers to send to every task")
+    held = named.toArrow()
+    sent = df.sparkSession.sparkContext.broadcast(
+        (np.array(held.column("k").to_pylist(), np.int64), np.array(held.column("c").to_pylist(), np.float64))
     )
-    return df.withColumn("nearest", F.array_min(options)["k"])
+
+    def run(values: pd.Series) -> pd.Series:
+        names, matrix = sent.value
+        there = values.notna().to_numpy()
+        out = pd.Series([None] * len(values), dtype="Int64")
+        if there.any() and len(names):
+            x = np.stack([np.asarray(v, np.float64) for v in values[there]])
+            out[there] = _nearest(x, matrix, names)[0]
+        return out
+
+    return df.withColumn("nearest", F.pandas_udf(run, "long")(F.col(vector)))
 
 
 # ---- block pairs ----------------------------------------------------------
@@ -397,10 +453,3 @@ def silhouettes_of_labelings(
         )
     return rows.agg(F.array(*scored).alias("s")).select(F.inline("s"))
 
-
-def bounded_centers(centers: DataFrame, cluster: str = "cluster") -> dict[int, list[float]]:
-    """Model centers as plain numbers; refuses more than a broadcast's worth."""
-    rows = centers.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError("too many centers")
-    return {r[cluster]: list(r["center"]) for r in rows}

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions.rows import element_rows
 from palimpsest.functions.text import UNK
 from palimpsest.operators.ordering import with_index
-from palimpsest.session import BROADCAST_ROWS, dictionary_join, fits_broadcast, materialize
+from palimpsest.session import (
+    BROADCAST_ROWS, counted_dictionary_join, dictionary_join, fits_broadcast, materialize,
+)
 
 # The corpus guide recommends a vocabulary of at most 1000 tokens.
 RECOMMENDED_VOCAB_SIZE = 1000
@@ -68,12 +70,23 @@ def special_tokens(vocab: DataFrame) -> DataFrame:
     ).select((F.col("n") + F.col("k")).cast("long").alias("id"), "token")
 
 
+def _look_up(
+    rows: DataFrame, vocab: DataFrame, keys: list[str], value: Column, rows_at_most: int | None
+) -> DataFrame:
+    """Rows with ``value`` of their vocabulary entry, null without one. Where
+    the vocabulary has counts, they tell which tokens are too frequent to be
+    shuffled."""
+    if "count" not in vocab.columns:
+        return dictionary_join(rows, vocab.select(*keys, value), keys, rows_at_most=rows_at_most)
+    weighted = vocab.select(*keys, value, F.col("count").alias("_weight"))
+    return counted_dictionary_join(rows, weighted, keys, "_weight", rows_at_most)
+
+
 def lookup_ids(
     rows: DataFrame, vocab: DataFrame, unk_id: int, rows_at_most: int | None = None
 ) -> DataFrame:
     """Add ``token_id``; a token outside the vocabulary gets ``unk_id``."""
-    ids = vocab.select("token", F.col("id").alias("_id"))
-    joined = dictionary_join(rows, ids, ["token"], rows_at_most=rows_at_most)
+    joined = _look_up(rows, vocab, ["token"], F.col("id").alias("_id"), rows_at_most)
     return joined.withColumn("token_id", F.coalesce("_id", F.lit(unk_id))).drop("_id")
 
 
@@ -81,8 +94,8 @@ def lookup_tokens(
     rows: DataFrame, vocab: DataFrame, rows_at_most: int | None = None
 ) -> DataFrame:
     """Add ``token`` for ``token_id``; ids outside the vocabulary give UNK."""
-    names = vocab.select(F.col("id").alias("token_id"), F.col("token").alias("_token"))
-    joined = dictionary_join(rows, names, ["token_id"], rows_at_most=rows_at_most)
+    names = vocab.withColumn("token_id", F.col("id"))
+    joined = _look_up(rows, names, ["token_id"], F.col("token").alias("_token"), rows_at_most)
     return joined.withColumn("token", F.coalesce("_token", F.lit(UNK))).drop("_token")
 
 
@@ -90,8 +103,7 @@ def lookup_counts(
     rows: DataFrame, vocab: DataFrame, rows_at_most: int | None = None
 ) -> DataFrame:
     """Add ``token_count``; -1 outside the vocabulary."""
-    counts = vocab.select("token", F.col("count").alias("_count"))
-    joined = dictionary_join(rows, counts, ["token"], rows_at_most=rows_at_most)
+    joined = _look_up(rows, vocab, ["token"], F.col("count").alias("_count"), rows_at_most)
     return joined.withColumn("token_count", F.coalesce("_count", F.lit(-1))).drop("_count")
 
 

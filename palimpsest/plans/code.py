@@ -87,12 +87,17 @@ def code_token_table(t):
         "change_id", "name", F.col("pos").cast("long").alias("pos"), "token")
 
 
-_SPACED = ('"""Module @K@.""" $NEWLINE import os $NEWLINE  $NEWLINE  def load_@K@(path, size=@A@): $NEWLINE  $INDENT """Read.""" $NEWLINE '
-           " data = os.read(path, size)  # all of it $NEWLINE  if size > @B@: $NEWLINE  $INDENT return data + 'x@C@' $NEWLINE "
-           " $DEDENT return data $NEWLINE ")
+# A blank more where a line begins, none behind a change of depth.
+_SPACED = (
+    '"""Module @K@.""" $NEWLINE  import os $NEWLINE  $NEWLINE  def load_@K@(path, size=@A@): $NEWLINE  $INDENT """Read.""" $NEWLINE '
+    " data = os.read(path, size)  # all of it $NEWLINE  if size > @B@: $NEWLINE  $INDENT return data + 'x@C@' $NEWLINE "
+    ' $DEDENT return data $NEWLINE  $NEWLINE  $DEDENT class Box@K@: $NEWLINE  $INDENT """Box.""" $NEWLINE  width = @K@ $NEWLINE '
+    " $NEWLINE  def area(self, scale): $NEWLINE  $INDENT return self.width * scale * 1.5 $NEWLINE  $NEWLINE  $DEDENT class Inner: $NEWLINE "
+    " $INDENT def depth(self): $NEWLINE  $INDENT return f'{self.d}!' $NEWLINE  $NEWLINE  $DEDENT  $DEDENT  $DEDENT def gone_@K@(): $NEWLINE "
+    ' $INDENT "only a docstring" $NEWLINE  $DEDENT ')
 
 
-@query("spaced_one_line")
+@query("spaced_one_line", f"{_S} SELECT k AS change_id, {fill_sql(_SPACED)} AS line FROM source_changes")
 def spaced_one_line(t):
     return source_changes(t).select("change_id", C.spaced_one_line("code_before").alias("line"))
 
@@ -181,10 +186,13 @@ def top_idioms(t):
     return code_idioms(t).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("idiom_flags", f"{_C} SELECT pair_id, side, pos, coalesce(cls IS NOT NULL AND NOT replaced, FALSE) AS is_idiom FROM flagged")
+@query("idiom_flags", f"""{_C} SELECT pair_id, side, string_agg(CASE WHEN cls IS NOT NULL AND NOT replaced THEN '1' ELSE '0' END, '' ORDER BY pos) AS flags
+FROM flagged GROUP BY pair_id, side""")
 def idiom_flags(t):
+    """One sign per token of each side, so that a side is one row to compare."""
     out = A.with_idiom_flag(code_tokens(t), code_idioms(t), sum(CODE_IDIOM_LIMITS.values()))
-    return out.select("pair_id", "side", F.col("pos").cast("long").alias("pos"), "is_idiom")
+    marks = F.array_sort(F.collect_list(F.struct("pos", F.col("is_idiom").cast("int").cast("string").alias("m"))))
+    return out.groupBy("pair_id", "side").agg(F.array_join(F.transform(marks, lambda x: x["m"]), "").alias("flags"))
 
 
 @query("usable_idioms", f"""WITH {DOC_TOKENS_SQL}, g AS (

@@ -153,10 +153,46 @@ def rouge_l(t):
     return _rounded(out.select("pair_id", "lcs", "rouge_l_p", "rouge_l_r", "rouge_l_f"))
 
 
-@query("rouge_l_summary")
+# The words of one common subsequence a pair of sentences, walked back from the
+# ends: a match is taken, else the longer side is kept, else a step along y.
+_UNION = """
+texts AS (SELECT pair_id, list_filter(list_transform(string_split(hyp, '.'), lambda x: trim(x, ' ')), lambda x: x <> '') AS hs,
+  list_filter(list_transform(string_split(target, '.'), lambda x: trim(x, ' ')), lambda x: x <> '') AS gs FROM predictions),
+refs AS (SELECT pair_id, unnest(gs) AS g, unnest(range(len(gs))) AS r, hs FROM texts),
+cells_of AS (SELECT pair_id, r, unnest(range(len(hs))) AS h, string_split(g, ' ') AS x, string_split(unnest(hs), ' ') AS y FROM refs),
+dp AS (
+  SELECT pair_id, r, h, 0::BIGINT AS i, list_transform(range(0, len(y) + 1), lambda z: 0::BIGINT) AS cells, x, y FROM cells_of
+  UNION ALL
+  SELECT pair_id, r, h, i + 1, list_reduce(range(1, len(y) + 1),
+    lambda acc, j: list_append(acc, CASE WHEN x[i + 1] = y[j] THEN cells[j] + 1 ELSE greatest(acc[len(acc)], cells[j + 1]) END),
+    [0::BIGINT]) AS cells, x, y
+  FROM dp WHERE i < len(x)
+),
+table_rows AS MATERIALIZED (SELECT pair_id, r, h, i, cells FROM dp),
+back AS (
+  SELECT pair_id, r, h, len(x)::BIGINT AS i, len(y)::BIGINT AS j, x, y, NULL::VARCHAR AS word FROM cells_of
+  UNION ALL
+  SELECT b.pair_id, b.r, b.h, CASE WHEN b.x[b.i] = b.y[b.j] OR up.cells[b.j + 1] > own.cells[b.j] THEN b.i - 1 ELSE b.i END,
+    CASE WHEN b.x[b.i] <> b.y[b.j] AND up.cells[b.j + 1] > own.cells[b.j] THEN b.j ELSE b.j - 1 END, b.x, b.y,
+    CASE WHEN b.x[b.i] = b.y[b.j] THEN b.x[b.i] END
+  FROM back b JOIN table_rows own ON own.pair_id = b.pair_id AND own.r = b.r AND own.h = b.h AND own.i = b.i
+    JOIN table_rows up ON up.pair_id = b.pair_id AND up.r = b.r AND up.h = b.h AND up.i = b.i - 1
+  WHERE b.i > 0 AND b.j > 0
+),
+found AS (SELECT DISTINCT pair_id, r, h, word FROM back WHERE word IS NOT NULL),
+per_ref AS (SELECT pair_id, r, count(DISTINCT word) / count(*) AS v FROM found GROUP BY pair_id, r),
+totals AS (SELECT pair_id, sum(v) AS v FROM per_ref GROUP BY pair_id),
+sized AS (SELECT pair_id, coalesce(v, 0) AS v, list_sum(list_transform(hs, lambda z: len(string_split(z, ' ')))) AS n,
+  list_sum(list_transform(gs, lambda z: len(string_split(z, ' ')))) AS m FROM texts LEFT JOIN totals USING (pair_id)),
+pr AS (SELECT pair_id, coalesce(v / nullif(n, 0), 0) AS p, coalesce(v / nullif(m, 0), 0) AS q FROM sized)"""
+
+
+@query("rouge_l_summary", f"""WITH RECURSIVE {PREDICTIONS_SQL}, {_UNION}
+SELECT pair_id, round(p, 6) AS rouge_lsum_p, round(q, 6) AS rouge_lsum_r,
+  round((1 + pow(p / (q + 1e-12), 2)) * q * p / (q + pow(p / (q + 1e-12), 2) * p + 1e-12), 6) AS rouge_lsum_f FROM pr""")
 def rouge_l_summary(t):
     def sentences(c):
-        return F.array_remove(F.transform(F.split(c, "[.]"), F.trim), "")
+        return F.array_remove(F.transform(F.split(c, "[.]"), lambda x: F.trim(x)), "")
 
     rows = predictions(t).select("pair_id", sentences("hyp").alias("h"), sentences("target").alias("g"))
     out = rouge.with_rouge_l_summary(rows, "h", "g")

@@ -94,18 +94,15 @@ def mean_silhouette(t):
 @query("squared_silhouette", f"""{_W}{_SIL.format(dist="pow(list_distance(a.vector, b.vector), 2)")}
 SELECT round(avg(silhouette), 6) AS silhouette FROM s""")
 def squared_silhouette(t):
-    score = ml.squared_silhouette(vectors(t))
-    return t.spark.range(1).select(F.round(F.lit(score), 6).alias("silhouette"))
+    return ml.squared_silhouette_row(vectors(t)).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("nearest_centroid", f"""{_W}, u AS (SELECT cluster, unnest(vector) AS x, unnest(range(len(vector))) AS i FROM vectors),
 m AS (SELECT cluster, i, avg(x) AS x FROM u GROUP BY cluster, i), c AS (SELECT cluster, list(x ORDER BY i) AS center FROM m GROUP BY cluster)
-SELECT v.id, arg_min(c.cluster, (list_distance(v.vector, c.center), c.cluster))::INT AS nearest FROM vectors v, c GROUP BY v.id""")
+SELECT v.id, arg_min(c.cluster, (list_distance(v.vector, c.center), c.cluster)) AS nearest FROM vectors v, c GROUP BY v.id""")
 def nearest_centroid(t):
     v = vectors(t)
-    dims = len(v.first()["vector"])
-    centers = V.bounded_centers(V.centroids(v, dims))
-    return V.assign_nearest(v, centers).select("id", "nearest")
+    return V.nearest_centers(v, V.centroids(v)).select("id", "nearest")
 
 
 @query("cluster_sizes", f"{_W} SELECT cluster, count(*) AS n FROM vectors GROUP BY cluster")
@@ -169,6 +166,28 @@ def kmeans_clusters(t):
     return ml.kmeans_clusters(vectors(t).drop("cluster"), 5).select("id", "cluster")
 
 
+@query("kmeans_facts", "SELECT count(*) AS rows, 5 AS k, 0 AS misplaced FROM embeddings")
+def kmeans_facts(t):
+    """Every row of a fit lies at its nearest fitted center."""
+    v = materialize(vectors(t).drop("cluster"), "vectors")
+    model = ml.kmeans_model(v, 5)
+    centers = t.spark.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, center array<double>")
+    out = V.nearest_centers(model.transform(ml.with_features(v)).drop("features"), centers)
+    return out.agg(F.count("*").alias("rows"), F.count_distinct("cluster").cast("int").alias("k"),
+                   F.count_if(F.col("cluster") != F.col("nearest")).cast("int").alias("misplaced"))
+
+
+@query("gaussian_facts", "SELECT count(*) AS rows, true AS within, 0 AS misplaced FROM embeddings")
+def gaussian_facts(t):
+    """Shares of the components add up to one and the label has the largest."""
+    out = ml.gaussian_shares(vectors(t).drop("cluster"), 3)
+    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
+    best = F.get("shares", F.col("cluster"))
+    return out.agg(F.count("*").alias("rows"), F.bool_and(F.abs(total - 1) < 1e-6).alias("within"),
+                   F.count_if(best < F.array_max("shares")).cast("int").alias("misplaced"))
+
+
 @query("gaussian_clusters")
 def gaussian_clusters(t):
     return ml.gaussian_clusters(vectors(t).drop("cluster"), 3).select("id", "cluster")

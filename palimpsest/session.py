@@ -14,6 +14,9 @@ BROADCAST_ROWS = 200_000
 # Nor more bytes than this, as JSON text.
 BROADCAST_BYTES = 256 << 20
 
+# Keys of a larger dictionary that are broadcast because they are frequent.
+HEAVY_KEYS = 20_000
+
 # Replicas of the dictionary side when a large dictionary is joined by shuffle.
 SALTS = 16
 
@@ -114,6 +117,26 @@ def fits_broadcast(df: DataFrame, rows_at_most: int | None = None) -> bool:
     return rows["n"] <= BROADCAST_ROWS and (rows["size"] or 0) <= BROADCAST_BYTES
 
 
+def counted_dictionary_join(
+    rows: DataFrame, dictionary: DataFrame, keys: list[str], weight: str, rows_at_most: int | None = None
+) -> DataFrame:
+    """Left join with a dictionary that is unique on ``keys`` and knows, in
+    ``weight``, how often each of its keys occurs.
+
+    A dictionary of checked size is broadcast. Of a larger one the heaviest
+    keys are, so that no frequent key is shuffled; the rows they leave are
+    joined with the rest of it by one shuffle, without copies of either side.
+    """
+    plain = dictionary.drop(weight)
+    if fits_broadcast(plain, rows_at_most):
+        return rows.join(F.broadcast(plain), keys, "left")
+    heavy = materialize(dictionary.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS), "heavy")
+    marked = rows.join(F.broadcast(heavy.drop(weight).withColumn("_heavy", F.lit(True))), keys, "left")
+    tail = plain.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    rest = marked.filter("_heavy is null").select(*rows.columns).join(tail, keys, "left")
+    return marked.filter("_heavy").drop("_heavy").unionByName(rest.select(*[c for c in marked.columns if c != "_heavy"]))
+
+
 def dictionary_join(
     rows: DataFrame,
     dictionary: DataFrame,
