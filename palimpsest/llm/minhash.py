@@ -36,6 +36,9 @@ from palimpsest.session import discard, fits_broadcast, materialize
 LEADERS = 8  # of a bucket, in every round but the first
 BLOCK = 512  # members of a bucket that are compared with as many others at once
 
+# Bits of a band's hash that travel with a text; bands are compared in place.
+_BAND_BITS = (1 << 31) - 1
+
 _LOWEST = -12  # ranks below 2 ** _LOWEST are one level
 _SEED = np.uint64(0xD1B54A32D192ED03)
 # Per byte, how many of its four bit pairs are zero.
@@ -216,22 +219,28 @@ def _drawn(leader: str | Column, draws: list[Column]) -> Column:
 
 
 def _mixed(members: DataFrame, roots: DataFrame, round_: int) -> DataFrame:
-    """What is left of ``members``, with their new ``root``: buckets that were
-    in several classes, without the leaders of ``round_``, which have met all
-    the others of their bucket."""
+    """What is left of ``members``, with their new ``root``: buckets that are in
+    several classes without the leaders of ``round_``, which have met all the
+    others of their bucket and leave it."""
     placed = members.withColumnRenamed("root", "was").join(_sent(roots), "id", "left")
     placed = placed.withColumn("root", F.coalesce("root", "id"))
-    several = materialize(
-        placed.groupBy("bucket")
-        .agg(
-            F.min("root").alias("least"),
-            F.max("root").alias("most"),
-            _drawn("id", _draws(round_, "was")).alias("led"),
-        )
-        .filter("least < most")
-        .select("bucket", "led"),
-        "several",
+    draws = [F.struct(d.alias("draw"), "id") for d in _draws(round_, "was")]
+    classes = placed.groupBy("bucket", "root").agg(
+        F.count("*").alias("n"), *[F.min(d).alias(f"d{j}") for j, d in enumerate(draws)]
+    )
+    led = [F.min(F.struct(f"d{j}.draw", f"d{j}.id", "root", "n")) for j in range(len(draws))]
+    buckets = classes.groupBy("bucket").agg(
+        F.count("*").alias("classes"), F.array(*led).alias("led")
+    )
+    led = F.array_distinct(F.transform("led", lambda x: F.struct(x["id"], x["root"], x["n"])))
+    buckets = buckets.filter("classes > 1").withColumn("led", led)
+    # Classes of the bucket that consist of leaders.
+    gone = F.filter(
+        "led", lambda x: x["n"] == F.size(F.filter("led", lambda y: y["root"] == x["root"]))
     )
+    left = F.col("classes") - F.size(F.array_distinct(F.transform(gone, lambda x: x["root"])))
+    several = buckets.filter(left > 1).select("bucket", F.transform("led", lambda x: x["id"]).alias("led"))
+    several = materialize(several, "several")
     rest = placed.join(_sent(several), "bucket").filter(~F.array_contains("led", F.col("id")))
     mixed = materialize(rest.drop("led", "was"), "members")
     discard(several)
@@ -319,7 +328,7 @@ def _blocked(members: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), met - 1)))
     return dealt.select(
         "bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
-        "block", "id", "root", "weight", "marks",
+        "block", "id", "root", "weight", "marks", *[c for c in ("bands",) if c in members.columns],
     )
 
 
@@ -349,6 +358,10 @@ def _all_candidates(members: DataFrame, settings: Settings) -> DataFrame:
         if not n:
             return
         own = {c: rows.column(c).to_numpy()[:n] for c in ("id", "root", "weight", "block", "i", "j")}
+        bands = None
+        if "bands" in rows.column_names:
+            bands = rows.column("bands").slice(0, n).combine_chunks().flatten().to_numpy().reshape(n, -1)
+            here = (rows.column("bucket").to_numpy()[:n] & _BAND_BITS).astype(np.int32)
         data = b"".join(rows.column("marks").slice(0, n).to_pylist())
         marks = np.zeros((n, -(-k // 32) * 8), np.uint8)
         marks[:, : k // 4] = np.frombuffer(data, np.uint8).reshape(n, k // 4)
@@ -369,8 +382,15 @@ def _all_candidates(members: DataFrame, settings: Settings) -> DataFrame:
                 apart = marks[x] ^ marks[y]
                 apart = np.bitwise_count((apart | apart >> np.uint64(1)) & low)
                 near = apart.sum(axis=1, dtype=np.int64) <= unlike
-                if near.any():
-                    yield _pairs(own["id"][x[near]], own["id"][y[near]])
+                x, y = x[near], y[near]
+                if bands is not None and len(x):
+                    # Once a pair: in the first of the bands that both have.
+                    # It was met there if one of them led that bucket.
+                    first = (bands[x] == bands[y]).argmax(axis=1)
+                    once = bands[x, first] == here[x]
+                    x, y = x[once], y[once]
+                if len(x):
+                    yield _pairs(own["id"][x], own["id"][y])
 
     dealt = _blocked(members).repartition("bucket", "i", "j")
     dealt = dealt.sortWithinPartitions("bucket", "i", "j")
@@ -424,7 +444,8 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
         .dropDuplicates(["id"]),
         "texts",
     )
-    known = distinct.select("id", "weight").join(_marked(texts, settings), "id")
+    low = F.transform("bands", lambda b: b.bitwiseAND(F.lit(_BAND_BITS)).cast("int"))
+    known = distinct.select("id", "weight", low.alias("bands")).join(_marked(texts, settings), "id")
     left = members.join(materialize(known, "marks"), "id").withColumn("root", F.col("id"))
     left = materialize(left, "members")
     discard(members)
