@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.rows import element_rows
@@ -57,9 +57,10 @@ def assign_batches(
 
 
 def pad_batches(df: DataFrame, tokens: str, pad: str = "") -> DataFrame:
-    """Add ``padded``: each row's tokens padded to the longest of its batch."""
-    width = df.groupBy("bucket", "batch").agg(F.max(F.size(tokens)).alias("width"))
-    return dictionary_join(df, width, ["bucket", "batch"], "inner").withColumn(
+    """Add ``padded``: each row's tokens padded to the longest of its batch, a
+    group of as many rows as a batch has."""
+    width = F.max(F.size(tokens)).over(Window.partitionBy("bucket", "batch"))
+    return df.withColumn("width", width).withColumn(
         "padded",
         F.concat(F.col(tokens), F.array_repeat(F.lit(pad), F.col("width") - F.size(tokens))),
     )

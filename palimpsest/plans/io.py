@@ -25,6 +25,7 @@ from palimpsest.sources import lines as L
 from palimpsest.sources import records as R
 from palimpsest.sources import sinks as S
 from palimpsest.streaming import jobs as J
+from palimpsest.streaming.pairing import keyed_state, pair_or_expire
 
 
 @query("commits_from_json", f"""WITH {COMMITS_SQL}
@@ -76,6 +77,15 @@ def entries_written(t):
         "idx", "e.name", "source", "target", F.concat_ws(",", "e.edit_actions").alias("edit_actions"))
 
 
+@query("entries_read_back", f"WITH e AS ({code_plans._ENTRY_SQL}) SELECT name, before, after, actions AS edit_actions FROM e")
+def entries_read_back(t):
+    path = scratch_path(t.spark, "entries")
+    S.write_entries(code_plans.entries(t), path)
+    return R.read_change_entries(t.spark, f"{path}/data").select(
+        "name", F.col("before_code_normalized").alias("before"), F.col("after_code_normalized").alias("after"),
+        F.concat_ws(",", "edit_actions").alias("edit_actions"))
+
+
 def _entry_chunks(t):
     """Entries in three chunks, as data and as text lines."""
     from palimpsest.operators.ordering import with_group_index
@@ -126,6 +136,15 @@ def cluster_corpora(t):
     return t.spark.read.parquet(f"{path}/text")
 
 
+@query("cluster_entries", f"""WITH e AS ({code_plans._ENTRY_SQL}), c AS (SELECT *, len(name) % 3 AS cluster FROM e)
+SELECT cluster::INT AS cluster, row_number() OVER (PARTITION BY cluster ORDER BY name) - 1 AS line, name, actions AS edit_actions FROM c""")
+def cluster_entries(t):
+    path = scratch_path(t.spark, "clusters")
+    S.write_cluster_corpora(code_plans.entries(t).withColumn("cluster", F.length("name") % 3), path)
+    return S.read_cluster_entries(t.spark, path).select(
+        "cluster", "line", "name", F.concat_ws(",", "edit_actions").alias("edit_actions"))
+
+
 @query("paired_records", f"WITH {PAIRS_SQL} SELECT pair_id, source, target FROM pairs")
 def paired_records(t):
     path = scratch_path(t.spark, "records")
@@ -201,6 +220,23 @@ def stream_paired_arrivals(t):
     return J.drain(out).select("change_id", "before_value", "after_value")
 
 
+@query("stream_expired_arrivals", """
+WITH e AS (SELECT event_id // 2 AS change_id, event_id % 2 AS odd, ts::TIMESTAMP AS ts, round(value * 100)::BIGINT::VARCHAR AS v FROM events),
+p AS (SELECT a.change_id, a.v AS before_value, b.v AS after_value FROM e a JOIN e b ON a.change_id = b.change_id AND a.odd = 0 AND b.odd = 1
+  WHERE b.ts BETWEEN a.ts - INTERVAL 3 MINUTE AND a.ts + INTERVAL 3 MINUTE)
+SELECT change_id, before_value, after_value, 'paired' AS outcome FROM p
+UNION ALL SELECT change_id, CASE odd WHEN 0 THEN v END, CASE odd WHEN 1 THEN v END, CASE odd WHEN 0 THEN 'no after' ELSE 'no before' END
+FROM e ANTI JOIN p USING (change_id) WHERE epoch_ms(ts) + 360000 <= (SELECT min(m) FROM (SELECT max(epoch_ms(ts)) AS m FROM e GROUP BY odd))""")
+def stream_expired_arrivals(t):
+    def side(odd):
+        rows = _events(t).filter(F.col("event_id") % 2 == odd)
+        cents = F.round(F.col("value") * 100).cast("long")
+        return rows.select(F.expr("event_id div 2").alias("change_id"), "ts", cents.alias("value"))
+
+    with keyed_state(t.spark):
+        return J.drain(pair_or_expire(side(0), side(1), "change_id", "ts", "value", 180))
+
+
 @query("stream_resumed", "SELECT event_id FROM events WHERE event_id % 4 <> 0")
 def stream_resumed(t):
     twice = _events(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import WHITE
-from palimpsest.session import dictionary_join
+from palimpsest.session import dictionary_join, materialize
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -14,7 +14,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     path order, both from 0.
 
     A line's number is its place in its input split plus the lines of the
-    splits before it, so nothing but one row per split is sorted.
+    splits before it, so nothing but one row per split is sorted. The lines are
+    frozen with their places first: cores that come or go between two scans
+    change how a file is split.
     """
     raw = spark.read.text(path).select(
         "value",
@@ -22,6 +24,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("mid"),
     )
+    # Counting and numbering must see the same splits in the same tasks.
+    raw = materialize(raw, "lines")
     in_file = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     overall = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
     splits = (

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import ALIGNER_SEPARATOR, WHITE
 from palimpsest.operators.ordering import with_group_index, with_index
+from palimpsest.session import fits_broadcast
 from palimpsest.sources.lines import read_lines
+from palimpsest.sources.records import CHANGE_ENTRIES
 
 # Fixed value: lines per chunk.
 CHUNK_LINES = 100_000
@@ -101,8 +103,10 @@ _IDIOM_FIELDS = {"identifiers": "identifier", "float": "float", "int": "int", "s
 
 
 def write_idioms(idioms: DataFrame, path: str) -> None:
-    """One JSON object with a list of {value, count} per class; the lists are
-    top-k cuts, so the object stays small."""
+    """One JSON object with a list of {value, count} per class. The lists are
+    top-k cuts; a table too large for one row is an error."""
+    if not fits_broadcast(idioms):
+        raise ValueError("too many idioms for one object; cut them to the most frequent first")
 
     def entries(cls: str) -> Column:
         mine = F.when(F.col("cls") == cls, F.struct((-F.col("count")).alias("_o"), "value", "count"))
@@ -143,6 +147,11 @@ def write_cluster_corpora(entries: DataFrame, path: str) -> None:
     ).write.partitionBy("cluster").mode("errorifexists").parquet(f"{path}/text")
 
 
+def read_cluster_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of all cluster folders, with ``line`` and ``cluster``."""
+    return spark.read.schema(f"{CHANGE_ENTRIES}, line long, cluster int").json(f"{path}/data")
+
+
 def write_beam_lines(lines: DataFrame, path: str) -> None:
     """The hypotheses of one example per line, by example."""
     write_text(lines, "line", path, [F.col("example_id")])
