@@ -36,6 +36,8 @@ from palimpsest.session import discard, fits_broadcast, materialize
 LEADERS = 8  # of a bucket, in every round but the first
 BLOCK = 512  # members of a bucket that are compared with as many others at once
 
+DARTS = 1 << 21  # of the texts signed together, about
+
 # Bits of a band's hash that travel with a text; bands are compared in place.
 _BAND_BITS = (1 << 31) - 1
 
@@ -118,6 +120,15 @@ def signatures(
     return signature.reshape(n, k), total
 
 
+def _groups(texts: list[bytes], coordinates: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of texts whose darts and bytes are bounded together: a text
+    has about as many darts whether it is short or long."""
+    most = max(1, int(DARTS / (coordinates * math.log(coordinates) + 2 * coordinates)))
+    for lo, hi in kernels.groups(texts):
+        for at in range(lo, hi, most):
+            yield at, min(at + most, hi)
+
+
 def _band_hashes(signature: np.ndarray, settings: Settings) -> np.ndarray:
     parts = signature.reshape(len(signature), settings.bands, settings.rows)
     out = np.broadcast_to(
@@ -132,7 +143,7 @@ def _banded(rows: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = kernels.as_bytes(batch.column("text"))
-            for lo, hi in kernels.groups(texts):
+            for lo, hi in _groups(texts, settings.coordinates):
                 signature, weight = signatures(texts[lo:hi], settings)
                 used = weight > 0
                 bands = _band_hashes(signature[used], settings)
@@ -153,7 +164,7 @@ def _marked(texts: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = kernels.as_bytes(batch.column("text"))
-            for lo, hi in kernels.groups(rows):
+            for lo, hi in _groups(rows, settings.marks):
                 signature, _ = signatures(rows[lo:hi], settings, settings.marks)
                 pairs = (signature & np.uint64(3)).astype(np.uint8)
                 whole = sum(pairs[:, j::4] << (2 * j) for j in range(4))
