@@ -236,11 +236,14 @@ def pair_token_table(
     before: str = "before_code",
     after: str = "after_code",
     max_tokens: int | None = MAX_TOKENS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """The token table of function pairs; a pair with a side that cannot be
-    read or is too long is dropped whole."""
+    read or is too long is dropped whole. ``keep`` names columns of the pair
+    that its very first token carries in ``pair``, null in the others."""
     rows = pairs.select(
         F.col(key).alias("pair_id"),
+        *keep,
         tokens_of(before, max_tokens).alias("b"),
         tokens_of(after, max_tokens).alias("a"),
     ).filter("b.error IS NULL AND a.error IS NULL")
@@ -250,8 +253,10 @@ def pair_token_table(
             F.struct(F.lit("after").alias("side"), F.col("a.tokens").alias("tokens")),
         )
     )
+    head = (F.col("side") == "before") & (F.col("pos") == 0)
+    kept = [F.when(head, F.struct(*keep)).alias("pair")] if keep else []
     return (
-        rows.select("pair_id", sides.alias("s"))
-        .select("pair_id", "s.side", F.posexplode("s.tokens").alias("pos", "x"))
-        .select("pair_id", "side", "pos", "x.token", "x.cls", "x.value", "x.visit")
+        rows.select("pair_id", *keep, sides.alias("s"))
+        .select("pair_id", *keep, "s.side", F.posexplode("s.tokens").alias("pos", "x"))
+        .select("pair_id", "side", "pos", "x.token", "x.cls", "x.value", "x.visit", *kept)
     )

@@ -31,7 +31,7 @@ def change_entries(
     out, in that order, before the edit actions are derived. Each text is
     parsed once: the paired functions are written to the shared folder, and
     everything about a pair is read off one group of at most ``2 * max_tokens``
-    tokens.
+    tokens, the first of which carries the name and the texts.
     """
     keep = ["repository", "commit_after", "file_after"]
     found = C.pair_functions(changes, *keep).select(
@@ -42,19 +42,23 @@ def change_entries(
     # Rows are told apart by a number, since a name may occur more than once.
     found = found.withColumn("pair_id", F.monotonically_increasing_id())
     pairs = materialize(found, "function-pairs")
-    tokens = A.pair_token_table(pairs, "pair_id", max_tokens=max_tokens)
+    keep = ("name", "before_code", "after_code")
+    tokens = A.pair_token_table(pairs, "pair_id", max_tokens=max_tokens, keep=keep)
     numbered = A.number_placeholders(A.with_idiom_flag(tokens, idioms, idiom_rows_at_most))
     fields = F.struct("pos", "side", "token", "normalized", "cls", "placeholder", "value")
     rows = (
         numbered.groupBy("pair_id")
-        .agg(F.array_sort(F.collect_list(fields)).alias("t"))
+        .agg(
+            F.array_sort(F.collect_list(fields)).alias("t"),
+            F.first("pair", ignorenulls=True).alias("pair"),
+        )
         .withColumn("b", F.filter("t", lambda x: x["side"] == "before"))
         .withColumn("a", F.filter("t", lambda x: x["side"] == "after"))
         .withColumn("before", F.concat_ws(" ", "b.normalized"))
         .withColumn("after", F.concat_ws(" ", "a.normalized"))
         .filter("before <> after")
         .select(
-            "pair_id",
+            "pair.*",
             F.col("before").alias("before_code_normalized"),
             F.col("after").alias("after_code_normalized"),
             edit_script_of("b.token", "a.token")["action"].alias("edit_actions"),
@@ -63,12 +67,4 @@ def change_entries(
             ).alias("replacement_map"),
         )
     )
-    return pairs.join(rows, "pair_id").select(
-        "name",
-        "before_code",
-        "after_code",
-        "before_code_normalized",
-        "after_code_normalized",
-        "edit_actions",
-        "replacement_map",
-    )
+    return rows
