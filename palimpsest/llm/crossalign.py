@@ -236,8 +236,9 @@ def links(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Aligned documents, a batch of them to a row, stored in the shared folder.
 
     Arrays hold an entry per document; ``places`` has for every link, in order,
-    the place of its id pair in ``codes`` (A's id times 2**32 plus B's, rising),
-    and ``counts`` how many links of the batch have the pair.
+    the place of its id pair in ``codes`` (A's id times 2**32 plus B's, rising) in
+    two bytes, four where a batch has over 65,536 pairs, and ``counts`` how many
+    links of the batch have the pair.
     """
     settings = settings or Settings()
     paths = settings.tokenizer_a or default_path(), settings.tokenizer_b or default_pieces()
@@ -254,7 +255,7 @@ def links(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
             n_groups.tolist(),
             n_links.tolist(),
             [hashlib.sha256(t).hexdigest() if t else "" for t in texts],
-            places.astype("<u4").tobytes(),
+            places.astype("<u2" if len(codes) <= 1 << 16 else "<u4").tobytes(),
             codes.astype("<i8").tobytes(),
             counts.astype("<i8").tobytes(),
         )
@@ -329,7 +330,8 @@ def _scored(key: tuple, stored: pa.Table, known: pa.Table) -> pa.Table:
     order = np.argsort(known.column("code").to_numpy())
     count = known.column("count").to_numpy()[order]
     best = known.column("best").to_numpy(zero_copy_only=False)[order]
-    places = np.frombuffer(row["places"], "<u4")
+    links = sum(row["n_links"])
+    places = np.frombuffer(row["places"], "<u2" if len(row["places"]) == 2 * links else "<u4")
     sums = np.concatenate(([0], np.cumsum(count[places])))
     bests = np.concatenate(([0], np.cumsum(best[places])))
     bounds = np.concatenate(([0], np.cumsum(np.array(row["n_links"], np.int64))))
