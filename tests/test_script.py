@@ -128,3 +128,50 @@ def test_few_rows_of_many_bytes_are_not_sent(spark, monkeypatch):
     assert fits_broadcast(df) and fits_broadcast(df.limit(0))
     monkeypatch.setattr("palimpsest.session.BROADCAST_BYTES", 400)
     assert not fits_broadcast(df)
+
+
+@given(words, words)
+def test_both_ways_to_align_agree(before, after):
+    from palimpsest.functions import lcs, script
+
+    table = [[0] * (len(after) + 1) for _ in range(len(before) + 1)]
+    for i, x in enumerate(before):
+        for j, y in enumerate(after):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    found = lcs.common_places(before, after)
+    assert found == script._common(before, after)
+    assert len(found) == table[-1][-1]
+    kept, i, j = set(), len(before), len(after)
+    while i and j:
+        if before[i - 1] == after[j - 1]:
+            kept.add(before[i - 1])
+            i, j = i - 1, j - 1
+        elif table[i - 1][j] > table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    assert lcs.lcs_words(before, after) == kept
+
+
+def test_long_unlike_lists_take_little_time_and_memory():
+    import random
+    import tracemalloc
+
+    from palimpsest.functions.lcs import lcs_words
+
+    draw = random.Random(1)
+    unlike = [str(i) for i in range(20_000)], [str(-i - 1) for i in range(20_000)]
+    mixed = tuple([str(draw.randrange(500)) for _ in range(20_000)] for _ in range(2))
+    for before, after in (unlike, mixed):
+        start = time.perf_counter()
+        tracemalloc.start()
+        script = edit_script(before, after)
+        lcs_words(before, after)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 << 20 and time.perf_counter() - start < 60
+        gone = {e["before_pos"] for e in script if e["before_pos"] is not None}
+        new = {e["after_pos"] for e in script if e["after_pos"] is not None}
+        assert [t for i, t in enumerate(before) if i not in gone] == [
+            t for j, t in enumerate(after) if j not in new
+        ]
