@@ -90,7 +90,7 @@ def _entry_chunks(t):
     """Entries in three chunks, as data and as text lines."""
     from palimpsest.operators.ordering import with_group_index
 
-    lines = A.changed_and_short(A.pair_lines(code_plans.numbered(t))).select(
+    lines = A.changed_and_short(A.pair_texts(code_plans.numbered(t, "normalized"))).select(
         "pair_id", F.col("before").alias("before_code_normalized"), F.col("after").alias("after_code_normalized"))
     rows = lines.withColumn("chunk", (F.col("pair_id") % 3).cast("int"))
     data = materialize(with_group_index(rows, ["chunk"], [F.col("pair_id")], "line"), "chunked")
