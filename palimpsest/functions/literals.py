@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions.shipping import ship
+
+ship(__name__)
+
 # The language's keywords, which are never replaced.
 KEYWORDS = (
     "False None True and as assert async await break class continue def del elif else "
@@ -22,14 +30,40 @@ PREFIXES = {
 }
 
 
+# The first pattern that a token meets names its class.
+_PATTERNS = {
+    "identifier": "^[A-Za-z_][A-Za-z_0-9]*$",
+    "int": "^[0-9][0-9_]*$",
+    "float": r"^([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][-+]?[0-9]+)?$",
+    "f_string": "^([rR]?[fF]|[fF][rR])['\"]",
+    "string": "^[rRuU]?['\"]",
+}
+
+
 def literal_class(token: Column | str) -> Column:
     """identifier, int, float, string, f_string, or null."""
     t = F.col(token) if isinstance(token, str) else token
-    return (
-        F.when(t.isin(*KEYWORDS), None)
-        .when(t.rlike("^[A-Za-z_][A-Za-z_0-9]*$"), "identifier")
-        .when(t.rlike("^[0-9][0-9_]*$"), "int")
-        .when(t.rlike(r"^([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][-+]?[0-9]+)?$"), "float")
-        .when(t.rlike("^([rR]?[fF]|[fF][rR])['\"]"), "f_string")
-        .when(t.rlike("^[rRuU]?['\"]"), "string")
-    )
+    out = F.when(t.isin(*KEYWORDS), None)
+    for name, pattern in _PATTERNS.items():
+        out = out.when(t.rlike(pattern), name)
+    return out
+
+
+def literal_classes(tokens: Column | str, unclassed: str = "") -> Column:
+    """``literal_class`` of the tokens of an array; those that begin with
+    ``unclassed`` have none. Each text is judged once a batch."""
+    patterns = [(name, re.compile(pattern)) for name, pattern in _PATTERNS.items()]
+    keywords = frozenset(KEYWORDS)
+
+    def one(token: str | None) -> str | None:
+        if token is None or token in keywords or (unclassed and token.startswith(unclassed)):
+            return None
+        return next((name for name, p in patterns if p.search(token)), None)
+
+    def run(lists: pa.Array) -> pa.Array:
+        texts = lists.flatten().dictionary_encode()
+        classes = pa.array([one(t) for t in texts.dictionary.to_pylist()], pa.string())
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), classes.take(texts.indices))
+
+    return F.arrow_udf(run, "array<string>")(tokens)
