@@ -14,6 +14,7 @@ the target, at any size of corpus.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,20 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels, ngrams
+from palimpsest.session import discard, materialize
 
 _DRAW = np.uint64(0xA0761D6478BD642F)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled rows used (least hash of the id), which
-    is the bound of the broadcast labels. ``tail`` is the share of labelled
-    target documents held out of the target model that the sample may leave out."""
+    """``tail`` is the share of labelled target documents held out of the target
+    model that the sample may leave out."""
 
     buckets: int = 1 << 16
     sizes: tuple[int, ...] = (1, 2)
     smoothing: float = 1.0
-    sample: int = 100_000
     tail: float = 0.002
     seed: int = 1
 
@@ -47,27 +47,11 @@ class Model:
     settings: Settings
 
 
-def bounded_labels(good: DataFrame, settings: Settings) -> DataFrame:
-    """At most ``sample`` labelled ids, the same ones at every run."""
-    some = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
-    return ngrams.parts(some)
-
-
-def _flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    named = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
-    # ``labels`` has at most ``sample`` rows of two numbers.
-    return named.join(F.broadcast(labels), "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("good", F.lit(0)).cast("int").alias("good")
-    )
-
-
 def fit(docs: DataFrame, good: DataFrame, settings: Settings | None = None) -> Model:
     """Both models: raw over all documents, target over the labelled ones.
     Without target documents every weight is 0."""
     settings = settings or Settings()
-    rows = _flagged(docs, bounded_labels(good, settings)).select("text", "good")
+    rows = ngrams.marked(docs, ngrams.parts(good))
     features = ngrams.gram_buckets(settings.buckets, settings.sizes)
     raw, target = ngrams.bucket_arrays(
         ngrams.bucket_sums(rows, settings.buckets, features), settings.buckets
@@ -112,12 +96,21 @@ def weights(docs: DataFrame, model: Model) -> DataFrame:
 
 def target_edge(docs: DataFrame, good: DataFrame, model: Model) -> float:
     """The key that all but ``tail`` of the held-out target documents reach."""
-    settings = model.settings
-    labelled = _flagged(docs, bounded_labels(good, settings)).filter(F.col("good") == ngrams.HELD)
-    keys = weights(labelled, model).select("key", F.xxhash64("doc_id", "key").alias("draw"))
-    some = keys.orderBy("draw", "key").limit(settings.sample).toArrow()
-    found = some.column("key").to_numpy()
-    return float(np.quantile(found, settings.tail, method="lower")) if len(found) else float("-inf")
+    labelled = ngrams.flagged(docs, ngrams.parts(good)).filter(F.col("good") == ngrams.HELD)
+    return lower_quantile(weights(labelled, model).select("key"), model.settings.tail)
+
+
+def lower_quantile(keys: DataFrame, share: float) -> float:
+    """The exact quantile of all of ``key``, the lower of two neighbours; -inf
+    without rows. The keys are stored first, since they are read several times."""
+    stored = materialize(keys.select("key"), "keys")
+    row = stored.agg(F.count("key").alias("n"), F.min("key").alias("lo")).first()
+    if not row["n"]:
+        return float("-inf")
+    place = math.floor(row["n"] * share + (1 - share) - 1)
+    edge = kth_key(stored, row["n"] - place) if place > 0 else row["lo"]
+    discard(stored)
+    return float(edge)
 
 
 def kth_key(keys: DataFrame, k: int) -> float:

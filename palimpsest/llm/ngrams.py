@@ -50,8 +50,9 @@ def parts(good: DataFrame) -> DataFrame:
     )
 
 
-def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """``text, good`` of every document, ``good`` being 0 where it has no row.
+def flagged(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """``doc_id, text, good`` of every document, ``good`` being 0 where it has
+    no row.
 
     ``good`` has unique ids. Up to the counted limit of rows (two numbers each)
     it is broadcast; beyond it the join shuffles, and Spark splits hot ids.
@@ -62,7 +63,12 @@ def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     known = F.coalesce("good", F.lit(0)).cast("int")
-    return named.join(good, "doc_id", "left").select("text", known.alias("good"))
+    return named.join(good, "doc_id", "left").select("doc_id", "text", known.alias("good"))
+
+
+def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """``text, good`` of ``flagged``."""
+    return flagged(docs, good).select("text", "good")
 
 
 def bucket_sums(texts: DataFrame, buckets: int, features: Features) -> DataFrame:

@@ -4,8 +4,8 @@ log-likelihood ratio between trusted text and the raw corpus.
 Both multinomials count all of their documents. A document's ratio is divided
 by its number of n-grams, so length does not decide, and every document meets
 the same threshold. The threshold is ``margin`` below the ``tail`` quantile of
-a bounded sample of trusted documents that are held out of the target counts,
-so that it is not set on documents the model has learnt.
+all trusted documents that are held out of the target counts, so that it is not
+set on documents the model has learnt.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels, ngrams
+from palimpsest.llm.importance import lower_quantile
 
 
 @dataclass(frozen=True)
 class Rules:
-    """``sample`` bounds the held-out trusted documents that set the threshold:
-    those with the least hash of their id."""
+    """``margin`` lies between the ``tail`` quantile and the threshold."""
 
     buckets: int = 1 << 16
     sizes: tuple[int, ...] = (1, 2)
@@ -33,7 +33,6 @@ class Rules:
     repeat_share: float = 0.5
     tail: float = 0.002
     margin: float = 0.05
-    sample: int = 20_000
 
 
 @dataclass(frozen=True)
@@ -111,27 +110,13 @@ def fit(docs: DataFrame, good: DataFrame, rules: Rules | None = None) -> Model:
         for batch in batches:
             rows = kernels.as_bytes(batch.column("text"))
             for lo, hi in kernels.groups(rows):
-                part = batch.slice(lo, hi - lo)
                 score = _ratios(rows[lo:hi], ratio, rules)
                 words = np.diff(kernels.word_hashes(rows[lo:hi])[1])
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(score), part.column("draw")], ["score", "draw"]
-                )
-                yield out.filter(pa.array(words >= rules.min_words))
+                yield pa.RecordBatch.from_arrays([pa.array(score[words >= rules.min_words])], ["key"])
 
-    held = good.filter(F.col("good") == ngrams.HELD).select("doc_id")
-    # At most ``sample`` ids, so they can be sent to every task.
-    held = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample)
-    named = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
-    trusted = named.join(F.broadcast(held), "doc_id").select("text", F.xxhash64("text").alias("draw"))
-    sample = trusted.mapInArrow(run, "score double, draw long").orderBy("draw", "score")
-    scores = sample.limit(rules.sample).toArrow().column("score").to_numpy()
-    if not len(scores):
-        return Model(ratio, float("-inf"), rules)
+    held = ngrams.flagged(docs, good).filter(F.col("good") == ngrams.HELD).select("text")
     # The lower of the two neighbours keeps more of the trusted documents.
-    edge = float(np.quantile(scores, rules.tail, method="lower"))
+    edge = lower_quantile(held.mapInArrow(run, "key double"), rules.tail)
     return Model(ratio, edge - rules.margin, rules)
 
 
