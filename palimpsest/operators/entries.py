@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.script import edit_script_of
@@ -11,12 +11,6 @@ from palimpsest.operators import code as C
 from palimpsest.session import materialize
 
 
-def _one_map(tokens: Column, cls: str) -> Column:
-    mine = F.filter(tokens, lambda x: (x["cls"] == cls) & x["placeholder"].isNotNull())
-    entries = F.transform(mine, lambda x: F.struct(x["placeholder"], x["value"]))
-    return F.map_from_entries(F.array_sort(F.array_distinct(entries)))
-
-
 def change_entries(
     changes: DataFrame,
     idioms: DataFrame,
@@ -29,9 +23,8 @@ def change_entries(
 
     Unreadable files, long functions and pairs equal after abstraction drop
     out, in that order, before the edit actions are derived. Each text is
-    parsed once: the paired functions are written to the shared folder, and
-    everything about a pair is read off one group of at most ``2 * max_tokens``
-    tokens, the first of which carries the name and the texts.
+    parsed once: the paired functions are written to the shared folder. A pair
+    is numbered, compared and mapped inside its one row.
     """
     keep = ["repository", "commit_after", "file_after"]
     found = C.pair_functions(changes, *keep).select(
@@ -43,28 +36,15 @@ def change_entries(
     found = found.withColumn("pair_id", F.monotonically_increasing_id())
     pairs = materialize(found, "function-pairs")
     keep = ("name", "before_code", "after_code")
-    tokens = A.pair_token_table(pairs, "pair_id", max_tokens=max_tokens, keep=keep)
-    numbered = A.number_placeholders(A.with_idiom_flag(tokens, idioms, idiom_rows_at_most))
-    fields = F.struct("pos", "side", "token", "normalized", "cls", "placeholder", "value")
-    rows = (
-        numbered.groupBy("pair_id")
-        .agg(
-            F.array_sort(F.collect_list(fields)).alias("t"),
-            F.first("pair", ignorenulls=True).alias("pair"),
-        )
-        .withColumn("b", F.filter("t", lambda x: x["side"] == "before"))
-        .withColumn("a", F.filter("t", lambda x: x["side"] == "after"))
-        .withColumn("before", F.concat_ws(" ", "b.normalized"))
-        .withColumn("after", F.concat_ws(" ", "a.normalized"))
-        .filter("before <> after")
-        .select(
-            "pair.*",
-            F.col("before").alias("before_code_normalized"),
-            F.col("after").alias("after_code_normalized"),
-            edit_script_of("b.token", "a.token")["action"].alias("edit_actions"),
-            F.struct(
-                *[_one_map(F.col("t"), cls).alias(f) for f, cls in A.MAP_FIELDS.items()]
-            ).alias("replacement_map"),
-        )
+    tokens = A.code_pair_table(pairs, "pair_id", max_tokens=max_tokens, keep=keep)
+    numbered = A.number_pairs(tokens, idioms, idiom_rows_at_most, ("normalized", "entries"))
+    sides = A.side_arrays(numbered, "token", *keep, "n_before", "normalized", "entries")
+    sides = sides.withColumnsRenamed({"before": "b", "after": "a"})
+    lines = A.pair_texts(sides, "normalized", *keep, "b", "a", "entries").filter("before <> after")
+    return lines.select(
+        *keep,
+        F.col("before").alias("before_code_normalized"),
+        F.col("after").alias("after_code_normalized"),
+        edit_script_of("b", "a")["action"].alias("edit_actions"),
+        A.entry_maps().alias("replacement_map"),
     )
-    return rows
