@@ -53,6 +53,21 @@ def test_arrivals_pair_wait_or_leave_with_a_reason(spark, tmp_path):
     }
 
 
+def test_many_keys_share_a_state_and_a_timer(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rows = [(k, at(k % 50), "b", f"b{k}") for k in range(300)]
+    rows += [(k, at(k % 50 + 30), "a", f"a{k}") for k in range(0, 300, 3)]
+    rows += [(None, at(3), "b", "x"), (None, at(4), "a", "y")]
+    late = [(1000, at(500), "b", "l"), (1001, at(500), "a", "m")]
+    write(spark, folder, rows)
+    write(spark, folder, late)
+    with keyed_state(spark):
+        found = jobs.drain(pair_or_expire(*streams(spark, folder), "k", "ts", "value", 60, buckets=2)).collect()
+    paired = {(k, f"b{k}", f"a{k}", "paired") for k in range(0, 300, 3)} | {(None, "x", "y", "paired")}
+    alone = {(k, f"b{k}", None, "no after") for k in range(300) if k % 3}
+    assert len(found) == len(paired) + len(alone) and {tuple(r) for r in found} == paired | alone
+
+
 def test_the_state_store_of_the_session_comes_back(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
