@@ -30,6 +30,7 @@ def embed_sequences(
     min_count: int = 1, epochs: int = 20, seed: int = SEED,
 ) -> DataFrame:
     """``(key, vector)``: the mean of learned action vectors."""
+    sequences = materialize(sequences.select(key, actions), "sequences")
     model = Word2Vec(
         vectorSize=vector_size, minCount=min_count, maxIter=epochs, stepSize=STEP_SIZE, seed=seed,
         inputCol=actions, outputCol="_v",
@@ -39,6 +40,7 @@ def embed_sequences(
 
 def count_sequences(sequences: DataFrame, key: str, actions: str = "edit_actions") -> DataFrame:
     """``(key, vector)``: action counts scaled to unit length; repeatable."""
+    sequences = materialize(sequences.select(key, actions), "sequences")
     counted = CountVectorizer(inputCol=actions, outputCol="_c").fit(sequences).transform(sequences)
     unit = Normalizer(inputCol="_c", outputCol="_v").transform(counted)
     return unit.select(key, vector_to_array("_v").alias("vector"))

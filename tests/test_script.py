@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from palimpsest.functions import script
 from palimpsest.functions.lcs import lcs_length
 from palimpsest.functions.script import DELETE, INSERT, MOVE, UPDATE, edit_script
 from palimpsest.operators import abstraction as A
@@ -175,3 +177,18 @@ def test_long_unlike_lists_take_little_time_and_memory():
         assert [t for i, t in enumerate(before) if i not in gone] == [
             t for j, t in enumerate(after) if j not in new
         ]
+
+
+def test_a_batch_is_met_a_few_pairs_at_a_time(monkeypatch):
+    monkeypatch.setattr(script, "_SLICE_TOKENS", 5)
+    before = pa.array([["a", "b"], None, ["c"] * 9, [], ["d"], ["a", "b", "c"]], pa.list_(pa.string()))
+    after = pa.array([["a"], ["x", "y"], ["c"], [], ["e"], ["c", "a", "b"]], pa.list_(pa.string()))
+    pairs = list(zip(before.to_pylist(), after.to_pylist(), strict=True))
+    some = [list(s) for s in script._slices(before, after)]
+    assert len(some) > 2 and sum(some, []) == pairs
+    whole = [script.edit_script(b, a) for b, a in pairs]
+    assert script._scripts(before, after).to_pylist() == whole
+    assert script._actions(before, after).to_pylist() == [[e["action"] for e in s] for s in whole]
+    assert len(script._actions(before[:0], after[:0])) == 0
+    # A slice of a larger batch and a batch without a null.
+    assert script._actions(before[2:], after[2:]).to_pylist() == [[e["action"] for e in s] for s in whole[2:]]
