@@ -12,13 +12,12 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.shipping import ship
 from palimpsest.operators.vectors import (
-    BLOCK_ROWS, _stack, by_block_pairs, dot, far_weights, threshold_pairs, unit, with_blocks,
+    BLOCK_ROWS, dot, far_weights, sums_by_blocks, threshold_pairs, unit, with_blocks,
 )
 from palimpsest.session import dictionary_join, materialize, scratch_path
 
@@ -38,29 +37,18 @@ Pull = Callable[[DataFrame], DataFrame]
 def _weighted_sums(blocked: DataFrame, theta: float, weighted: bool) -> DataFrame:
     """``(cluster, id, y, degree)``: y = sum of weight x ``q`` over neighbours."""
 
-    def kernel(low: pd.DataFrame, high: pd.DataFrame | None) -> pd.DataFrame:
-        right = low if high is None else high
-        w = far_weights(_stack(low, "u"), _stack(right, "u"), theta, weighted)
-        if high is None:
+    def kernel(low: dict, high: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        w = far_weights(low["u"], high["u"], theta, weighted)
+        if same:
             np.fill_diagonal(w, 0.0)
-        sides = [(low, w, right)] if high is None else [(low, w, right), (right, w.T, low)]
-        return pd.concat(
-            [
-                pd.DataFrame(
-                    {
-                        "cluster": a["cluster"].to_numpy(),
-                        "id": a["id"].to_numpy(),
-                        "y": m @ b["q"].to_numpy(),
-                        "degree": (m != 0).sum(axis=1),
-                    }
-                )
-                for a, m, b in sides
-            ],
-            ignore_index=True,
-        )
+        return np.arange(2), np.stack((w @ high["q"], np.count_nonzero(w, axis=1)), axis=1)
+
+    parts = sums_by_blocks(blocked, "cluster", ["u", "q"], kernel)
+
+    def total(which: int) -> Column:
+        return F.sum(F.when(F.col("other") == which, F.col("total")))
 
-    parts = by_block_pairs(blocked, "cluster", kernel, "cluster long, id long, y double, degree long")
-    return parts.groupBy("cluster", "id").agg(F.sum("y").alias("y"), F.sum("degree").alias("degree"))
+    return parts.groupBy("cluster", "id").agg(total(0).alias("y"), total(1).cast("long").alias("degree"))
 
 
 def _nodes(df: DataFrame, cluster: str, key: str, vector: str, rows_per_block: int) -> DataFrame:
