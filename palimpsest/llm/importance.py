@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import trimmed
 from palimpsest.llm import kernels, ngrams
 from palimpsest.session import discard, materialize
 
@@ -91,7 +92,7 @@ def weights(docs: DataFrame, model: Model) -> DataFrame:
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    return named.mapInArrow(run, "doc_id long, log_weight double, key double")
+    return named.mapInArrow(trimmed(run), "doc_id long, log_weight double, key double")
 
 
 def target_edge(docs: DataFrame, good: DataFrame, model: Model) -> float:
@@ -160,4 +161,4 @@ def sample(docs: DataFrame, model: Model, edge: float) -> DataFrame:
                 _, key = _keys(texts[lo:hi], ids[lo:hi], model)
                 yield batch.slice(lo, hi - lo).filter(pa.array(key >= edge))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels
-from palimpsest.llm.common import text_key
+from palimpsest.llm.common import text_key, trimmed
 from palimpsest.llm.components import components
 from palimpsest.session import discard, fits_broadcast, materialize
 
@@ -155,7 +155,7 @@ def _banded(rows: DataFrame, settings: Settings) -> DataFrame:
                     ["doc_id", "key", "weight", "bands"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, key binary, weight long, bands array<long>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, key binary, weight long, bands array<long>")
 
 
 def _marked(texts: DataFrame, settings: Settings) -> DataFrame:
@@ -172,7 +172,7 @@ def _marked(texts: DataFrame, settings: Settings) -> DataFrame:
                 ids = batch.slice(lo, hi - lo).column("id")
                 yield pa.RecordBatch.from_arrays([ids, pa.array(marks, pa.binary())], ["id", "marks"])
 
-    return texts.mapInArrow(run, "id long, marks binary")
+    return texts.mapInArrow(trimmed(run), "id long, marks binary")
 
 
 def _similarities(a: list[bytes], b: list[bytes], settings: Settings) -> np.ndarray:
@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
                 yield batch.slice(lo, hi - lo).select(["u", "v"]).filter(pa.array(close))
 
     sides = pairs.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v")
-    return sides.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return sides.select("u", "v", "text_u", "text_v").mapInArrow(trimmed(run), "u long, v long")
 
 
 def _sent(few: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def _candidates(members: DataFrame, round_: int, settings: Settings) -> DataFram
 
     met = members.join(_leaders(members, round_), "bucket")
     columns = met.select("id", "root", "weight", "marks", "leaders")
-    return columns.mapInArrow(run, "u long, v long").distinct()
+    return columns.mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def _blocked(members: DataFrame) -> DataFrame:
@@ -405,7 +405,7 @@ def _all_candidates(members: DataFrame, settings: Settings) -> DataFrame:
 
     dealt = _blocked(members).repartition("bucket", "i", "j")
     dealt = dealt.sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import trimmed
 from palimpsest.llm import kernels
 from palimpsest.session import fits_broadcast
 
@@ -93,7 +94,7 @@ def bucket_sums(texts: DataFrame, buckets: int, features: Features) -> DataFrame
             )
 
     return (
-        texts.mapInArrow(run, "bucket long, raw long, target long")
+        texts.mapInArrow(trimmed(run), "bucket long, raw long, target long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     )

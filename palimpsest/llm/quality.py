@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import trimmed
 from palimpsest.llm import kernels, ngrams
 from palimpsest.llm.importance import lower_quantile
 
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, good: DataFrame, rules: Rules | None = None) -> Model:
 
     held = ngrams.flagged(docs, good).filter(F.col("good") == ngrams.HELD).select("text")
     # The lower of the two neighbours keeps more of the trusted documents.
-    edge = lower_quantile(held.mapInArrow(run, "key double"), rules.tail)
+    edge = lower_quantile(held.mapInArrow(trimmed(run), "key double"), rules.tail)
     return Model(ratio, edge - rules.margin, rules)
 
 
@@ -153,7 +154,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    return named.mapInArrow(run, f"doc_id long, {_FIELDS}")
+    return named.mapInArrow(trimmed(run), f"doc_id long, {_FIELDS}")
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,4 +168,4 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
                 kept = _judged(texts[lo:hi], model)[-1]
                 yield batch.slice(lo, hi - lo).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -18,8 +18,8 @@ TOKENIZER = "byte_bpe_50k.json"
 # among them, because it knows some endings that begin with one.
 _SIGNS = ".,;:!?#*$%&|<>()[]/+=-"
 _CACHED_CHARS = 64
-_CACHED_WORDS = 700_000
-_CACHED_JOINED = 250_000
+_CACHED_WORDS = 300_000
+_CACHED_JOINED = 100_000
 _LATIN_END = "\u0250"
 
 
