@@ -18,8 +18,8 @@ TOKENIZER = "byte_bpe_50k.json"
 # among them, because it knows some endings that begin with one.
 _SIGNS = ".,;:!?#*$%&|<>()[]/+=-"
 _CACHED_CHARS = 64
-_CACHED_WORDS = 300_000
-_CACHED_JOINED = 100_000
+_CACHED_WORDS = 600_000
+_CACHED_JOINED = 300_000
 _LATIN_END = "\u0250"
 
 
@@ -85,10 +85,14 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         letters = word.removeprefix(" ")
-        if letters.isalpha() and max(letters) < _LATIN_END:
+        plain = letters.isascii()
+        if letters.isalpha() and (plain or max(letters) < _LATIN_END):
             # One run of letters: it goes to the model as it is, without the
-            # search for breaks.
-            form = "".join(map(self._forms.__getitem__, word))
+            # search for breaks. The model reads ASCII letters as they are.
+            if plain:
+                form = letters if letters is word else self._forms[" "] + letters
+            else:
+                form = "".join(map(self._forms.__getitem__, word))
             return array("I", [t.id for t in self._model(form)]).tobytes()
         return self._ids(word)
 

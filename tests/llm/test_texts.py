@@ -428,3 +428,21 @@ def test_token_files_round_trip(spark, tmp_path):
         start += len(found)
     assert got == want
     assert dac.through_files(documents(spark, [])).count() == 0
+
+
+def test_ascii_words_go_to_the_model_as_they_are():
+    plain, quick = tokenizer(), tokens.Encoder(tokens.default_path())
+    quick._forms = {" ": plain.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]}
+    for text in ("plain", "Words and more", "x", "ABBA abc\nnext line"):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(quick.encode(text), np.uint32).tolist() == want
+
+
+def test_half_a_million_words_stay_in_the_cache():
+    quick = tokens.Encoder(tokens.default_path())
+    words = quick._later
+    words._ids = lambda word: b"...."
+    for i in range(500_000):
+        words[f"w{i}"]
+    words._ids = lambda word: pytest.fail(f"{word} was forgotten")
+    assert all(words[f"w{i}"] == b"...." for i in range(0, 500_000, 7))
