@@ -73,18 +73,30 @@ class _Fingerprints:
         return mix((self._sums[k:] - self._sums[:n]) * self._back[:n])
 
 
+# Bits of a value that ``_least`` gives up for its place, and so the values it
+# handles at once.
+_PLACE_BITS = 24
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """For every window of ``width`` values the place of its first least one."""
-    least, place, done = values, np.arange(len(values), dtype=np.int32), 1
-    n = len(values) - width + 1
-    while done < width:
-        step = min(done, width - done)
-        size = len(least) - step
-        first = least[:size] <= least[step:]
-        place = np.where(first, place[:size], place[step:])
-        least = np.where(first, least[:size], least[step:])
-        done += step
-    return place[:n]
+    """For every window of ``width`` values the place of its first least one.
+
+    Values are compared by all but their last bits, where the place goes; equal
+    windows choose the same place all the same, because the first wins.
+    """
+    n = max(0, len(values) - width + 1)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    out = np.empty(n, np.int32 if len(values) < 1 << 31 else np.int64)
+    step = (1 << _PLACE_BITS) - width + 1
+    for at in range(0, n, step):
+        part = values[at : at + step + width - 1]
+        least, done = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
+        while done < width:
+            shift = min(done, width - done)
+            least = np.minimum(least[:-shift], least[shift:])
+            done += shift
+        out[at : at + step] = (least & low).astype(np.int64) + at
+    return out
 
 
 @dataclass
@@ -159,10 +171,10 @@ def _match(places: Places, h: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _marks(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
-    change = np.zeros(n + 1, np.int64)
+    change = np.zeros(n + 1, np.int32)
     np.add.at(change, starts, 1)
     np.add.at(change, stops, -1)
-    return np.cumsum(change)[:n] > 0
+    return np.cumsum(change, out=change)[:n] > 0
 
 
 def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -259,3 +259,15 @@ def test_lanes_of_any_length_give_the_same_links(pair):
     for other in (1, 64, 1 << 20):
         again = crossalign.lockstep(*ends, bounds, other)
         assert all((x == y).all() for x, y in zip(first, again, strict=True))
+
+
+@pytest.mark.parametrize("bits", [5, 7, 24])
+def test_the_least_of_every_window_in_slices(monkeypatch, bits):
+    monkeypatch.setattr(repeats, "_PLACE_BITS", bits)
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 40, 500).astype(np.uint64) << np.uint64(40)
+    for width in (1, 2, 7, 17):
+        got = repeats._least(values, width)
+        want = [i + int(np.argmin(values[i : i + width])) for i in range(len(values) - width + 1)]
+        assert got.tolist() == want
+    assert repeats._least(values[:3], 4).tolist() == []
