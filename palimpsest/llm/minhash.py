@@ -10,8 +10,8 @@ similarity. A text needs about ``k ln k + 2k`` darts, however long it is.
 Signatures are cut into bands. Texts that share a band are compared with one
 leader of the band's bucket, by exact weighted Jaccard of their shingles;
 buckets whose members still lie in several classes are dealt again with a few
-other leaders, until a round finds no new link. A member that has led has met
-all of its bucket and leaves it, so no bucket compares a pair twice. Every round
+other leaders, until a round finds no new link or few pairs are left. A member
+that has led has met all of its bucket and leaves it, so no bucket compares a pair twice. Every round
 is linear in the members of the buckets that are left. In the buckets that still
 hold several classes then, all pairs of different classes are compared, so every
 pair that shares a band has been met or lies in one class.
@@ -34,6 +34,7 @@ from palimpsest.llm.components import components
 from palimpsest.session import discard, fits_broadcast, materialize
 
 LEADERS = 8  # of a bucket, in every round but the first
+PAIRS = 256  # of different classes for each member that are met without more rounds
 BLOCK = 512  # members of a bucket that are compared with as many others at once
 
 DARTS = 1 << 21  # of the texts signed together, about
@@ -213,14 +214,15 @@ def _sent(few: DataFrame) -> DataFrame:
     return F.broadcast(few) if fits_broadcast(few) else few
 
 
-def _draws(round_: int, root: str = "root") -> list[Column]:
-    """By what the leaders of a bucket are chosen: in the first round the least
-    id, so that a group of copies meets few leaders; later ``LEADERS`` draws by
+def _draws(members: DataFrame, round_: int, root: str = "root") -> list[Column]:
+    """By what the leaders of a bucket are chosen: in the first round the text
+    with the most company in all its buckets, so that a group of near copies
+    meets few leaders, those in its middle; later ``LEADERS`` draws by
     class first, so that a large class does not take all of them. Each bucket
     draws on its own: texts that share several buckets meet other leaders in
     each, not the same ones again."""
     if round_ == 0:
-        return [F.col("id")]
+        return [F.struct(*[-F.col(c) for c in ("company",) if c in members.columns], F.col("id"))]
     salts = [[F.col("bucket"), F.lit(round_), F.lit(j)] for j in range(LEADERS)]
     return [F.struct(F.xxhash64(root, *s), F.xxhash64("id", *s), F.col("id")) for s in salts]
 
@@ -235,7 +237,7 @@ def _mixed(members: DataFrame, roots: DataFrame, round_: int) -> DataFrame:
     others of their bucket and leave it."""
     placed = members.withColumnRenamed("root", "was").join(_sent(roots), "id", "left")
     placed = placed.withColumn("root", F.coalesce("root", "id"))
-    draws = [F.struct(d.alias("draw"), "id") for d in _draws(round_, "was")]
+    draws = [F.struct(d.alias("draw"), "id") for d in _draws(placed, round_, "was")]
     classes = placed.groupBy("bucket", "root").agg(
         F.count("*").alias("n"), *[F.min(d).alias(f"d{j}") for j, d in enumerate(draws)]
     )
@@ -258,10 +260,19 @@ def _mixed(members: DataFrame, roots: DataFrame, round_: int) -> DataFrame:
     return mixed
 
 
+def _few_pairs(members: DataFrame) -> bool:
+    """Whether all pairs of different classes in the buckets are at most
+    ``PAIRS`` for each member, so that meeting them is linear in the members."""
+    classes = members.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("n"))
+    buckets = classes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") ** 2).alias("own"))
+    total = buckets.agg(F.sum("n").alias("n"), F.sum((F.col("n") ** 2 - F.col("own")) / 2).alias("pairs")).first()
+    return (total["pairs"] or 0) <= PAIRS * (total["n"] or 0)
+
+
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
     """``bucket, leaders``, see ``_draws``."""
     leader = F.struct("id", "root", "weight", "marks")
-    return members.groupBy("bucket").agg(_drawn(leader, _draws(round_)).alias("leaders"))
+    return members.groupBy("bucket").agg(_drawn(leader, _draws(members, round_)).alias("leaders"))
 
 
 def _least_alike(settings: Settings) -> float:
@@ -436,11 +447,11 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     )
     ids = distinct.select("id", "key", "first_doc")
     bucket = distinct.select("id", F.explode("bands").alias("bucket"))
-    shared = bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     # Only rows of buckets with company.
     members = materialize(bucket.join(shared, "bucket"), "buckets")
-    involved = members.select("id").distinct()
-    wanted = ids.join(involved, "id").select("id", "key", "first_doc")
+    involved = members.groupBy("id").agg(F.sum("n").alias("company"))
+    wanted = ids.join(involved, "id").select("id", "key", "first_doc", "company")
     # One row per wanted text: the row of its least id, so copies are not moved.
     # Wanted rows have 32 bytes; up to the limit they are broadcast.
     wanted = materialize(wanted, "wanted")
@@ -457,7 +468,8 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     )
     low = F.transform("bands", lambda b: b.bitwiseAND(F.lit(_BAND_BITS)).cast("int"))
     known = distinct.select("id", "weight", low.alias("bands")).join(_marked(texts, settings), "id")
-    left = members.join(materialize(known, "marks"), "id").withColumn("root", F.col("id"))
+    known = known.join(_sent(wanted.select("id", "company")), "id")
+    left = members.drop("n").join(materialize(known, "marks"), "id").withColumn("root", F.col("id"))
     left = materialize(left, "members")
     discard(members)
     tried = materialize(_candidates(left, 0, settings), "pairs")
@@ -465,26 +477,31 @@ def text_classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     round_ = 0
     while True:
         roots = materialize(components(links), "roots")
-        round_ += 1
-        mixed = _mixed(left, roots, round_ - 1)
+        mixed = _mixed(left, roots, round_)
         discard(left)
         left = mixed
+        if _few_pairs(left):
+            break
+        round_ += 1
         fresh = _candidates(left, round_, settings).join(tried, ["u", "v"], "left_anti")
         fresh = materialize(fresh, "pairs")
         found = materialize(_verified(fresh, texts, settings), "links")
+        tried = tried.union(fresh)
         if found.isEmpty():
+            # A round without a link has only met its leaders.
+            mixed = _mixed(left, roots, round_)
+            discard(left)
+            left = mixed
             break
         discard(roots)
-        tried, links = tried.union(fresh), links.union(found)
-    # A round without a link has only met its leaders.
-    mixed = _mixed(left, roots, round_)
-    if not mixed.isEmpty():
-        fresh = _all_candidates(mixed, settings).join(tried.union(fresh), ["u", "v"], "left_anti")
+        links = links.union(found)
+    if not left.isEmpty():
+        fresh = _all_candidates(left, settings).join(tried, ["u", "v"], "left_anti")
         found = materialize(_verified(materialize(fresh, "pairs"), texts, settings), "links")
         if not found.isEmpty():
             discard(roots)
             roots = materialize(components(links.union(found)), "roots")
-    discard(mixed, left, texts)
+    discard(left, texts)
     placed = ids.join(roots, "id", "left").select(
         "key", "first_doc", F.coalesce("root", "id").alias("root")
     )

@@ -151,6 +151,34 @@ def test_mixed_buckets_are_compared_whole(spark, monkeypatch, block):
     assert not {(84 + i, 40 + 7 * i) for i in range(6)} <= met
 
 
+def test_copies_around_one_text_need_no_second_round(spark, monkeypatch):
+    draw, rounds = random.Random(4), []
+    middle = [f"m{i}" for i in range(200)]
+    texts = []
+    # Each is like the middle (0.86), no two of them are like each other (0.75).
+    for i in range(40):
+        at = draw.sample(range(4, 196, 5), 3)
+        texts.append(" ".join(f"x{i}" if j in at else w for j, w in enumerate(middle)))
+    texts.append(" ".join(middle))
+    real = minhash._candidates
+    monkeypatch.setattr(minhash, "_candidates", lambda m, r, s: rounds.append(r) or real(m, r, s))
+    docs = documents(spark, texts)
+    assert {r["class_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
+    assert rounds == [0]
+    # Where no pairs may be met at once, rounds go on and find the same.
+    monkeypatch.setattr(minhash, "PAIRS", -1)
+    assert {r["class_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
+
+
+def test_the_first_leader_has_the_most_company(spark):
+    rows = [(1, 5, 3), (1, 6, 9), (1, 7, 9), (2, 8, 1)]
+    members = spark.createDataFrame(rows, "bucket long, id long, company long").selectExpr(
+        "*", "id root", "1L weight", "X'00' marks"
+    )
+    led = {r["bucket"]: [x["id"] for x in r["leaders"]] for r in minhash._leaders(members, 0).collect()}
+    assert led == {1: [6], 2: [8]}
+
+
 def test_near_duplicates_with_null_and_repeated_ids_and_no_rows(spark):
     docs = documents(spark, ["a b c", "a b c", "a b c", None], [None, None, 4, None])
     rows = minhash.near_duplicates(docs).collect()
