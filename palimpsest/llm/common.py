@@ -23,10 +23,27 @@ def give_back() -> None:
         trim(0)
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run`` as a function of batches that gives free memory back at its end."""
+# Caches that outlive a task, to be emptied by name of what fills them.
+CACHES: dict[str, dict] = {}
+
+
+def empty_caches(keeps: str | None = None) -> None:
+    """Empty what earlier tasks of this process have cached, but for ``keeps``."""
+    others = [cache for name, cache in CACHES.items() if name != keeps and cache]
+    for cache in others:
+        cache.clear()
+    if others:
+        give_back()
+
+
+def trimmed(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None
+) -> Callable:
+    """``run`` as a function of batches that gives free memory back at its end,
+    and first empties the caches that earlier tasks left, but for ``keeps``."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_caches(keeps)
         yield from run(batches)
         give_back()
 

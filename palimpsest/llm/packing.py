@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm import tokens
 from palimpsest.llm.common import trimmed
 from palimpsest.llm.tokens import default_path, encoder
 from palimpsest.session import materialize
@@ -109,7 +110,7 @@ def pieces(docs: DataFrame, settings: Settings | None = None, with_ids: bool = F
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    return named.mapInArrow(trimmed(run), _PIECE + (", ids binary" if with_ids else ""))
+    return named.mapInArrow(trimmed(run, tokens.CACHE), _PIECE + (", ids binary" if with_ids else ""))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

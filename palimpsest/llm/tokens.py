@@ -12,14 +12,17 @@ from __future__ import annotations
 import os
 from array import array
 
+from palimpsest.llm.common import CACHES
+
 TOKENIZER = "byte_bpe_50k.json"
+CACHE = "tokens"
 
 # Signs that the pattern takes as one run after a letter; apostrophes are not
 # among them, because it knows some endings that begin with one.
 _SIGNS = ".,;:!?#*$%&|<>()[]/+=-"
 _CACHED_CHARS = 64
-_CACHED_WORDS = 600_000
-_CACHED_JOINED = 300_000
+_CACHED_WORDS = 500_000
+_CACHED_JOINED = 200_000
 _LATIN_END = "\u0250"
 
 
@@ -111,11 +114,12 @@ class Encoder:
         return self._feed.join(map(self._line, text.split("\n")))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = CACHES.setdefault(CACHE, {})
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker process; its cache outlives the task."""
+    """The encoder of this worker process; its cache outlives the task, until
+    one that does not keep it."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

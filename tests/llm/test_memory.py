@@ -16,3 +16,11 @@ def test_free_memory_goes_back_when_a_task_ends(monkeypatch):
 
 def test_giving_back_needs_nothing():
     common.give_back()
+
+
+def test_a_task_of_another_kind_empties_the_caches(monkeypatch):
+    monkeypatch.setattr(common, "CACHES", {"words": {"a": 1}, "others": {"b": 2}})
+    assert list(common.trimmed(lambda batches: batches, "words")(iter([1]))) == [1]
+    assert common.CACHES == {"words": {"a": 1}, "others": {}}
+    assert list(common.trimmed(lambda batches: batches)(iter([1]))) == [1]
+    assert common.CACHES["words"] == {}
