@@ -26,7 +26,10 @@ def empty_strings() -> Column:
 
 def words(c: Column | str) -> Column:
     """Tokens between runs of blanks, tabs and line ends; no empty token."""
-    flat = F.translate(_col(c), "\t\n\r", "   ")
+    flat = _col(c)
+    # Whole runs are copied; translate looks up every character.
+    for white in "\t\n\r":
+        flat = F.replace(flat, F.lit(white), F.lit(" "))
     return F.array_remove(F.split(flat, " "), "")
 
 

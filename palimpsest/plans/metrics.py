@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 from palimpsest.operators import bleu, classify, metric, rouge
+from palimpsest.operators.distinct import count_names
 from palimpsest.plans.registry import query
 from palimpsest.plans.views import DOC_TOKENS_SQL, PAIRS_SQL, PREDICTIONS_SQL, document_tokens, pairs, predictions
 
@@ -105,10 +106,10 @@ g AS (SELECT 1 AS n, a AS ngram FROM w UNION ALL SELECT 2, a || ' ' || b FROM w
   UNION ALL SELECT 4, a || ' ' || b || ' ' || c || ' ' || d FROM w WHERE d IS NOT NULL)
 SELECT n, count(*) AS occurrences, count(DISTINCT ngram) AS distinct_ngrams FROM g GROUP BY n""")
 def ngram_counts(t):
-    rows = bleu.ngram_rows(document_tokens(t), "tokens", "doc_id")
-    per_gram = rows.groupBy("n", "ngram").count()
-    return per_gram.groupBy("n").agg(
-        F.sum("count").alias("occurrences"), F.count("*").alias("distinct_ngrams"))
+    docs = document_tokens(t)
+    # Counted before the n-grams are made: so many ranges of them there will be.
+    n = docs.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    return count_names(bleu.ngram_rows(docs, "tokens", named=bleu.MAX_ORDER * n))
 
 
 def _rouge_sets(n):
