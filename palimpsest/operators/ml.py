@@ -7,12 +7,12 @@ from collections.abc import Iterable
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, Normalizer, StandardScaler, Word2Vec
+from pyspark.ml.feature import PCA, CountVectorizer, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators import paragraphs
+from palimpsest.operators import paragraphs, wordvectors
 from palimpsest.operators.vectors import dot, silhouettes_of_labelings
 from palimpsest.session import fits_broadcast, materialize
 
@@ -31,11 +31,9 @@ def embed_sequences(
 ) -> DataFrame:
     """``(key, vector)``: the mean of learned action vectors."""
     sequences = materialize(sequences.select(key, actions), "sequences")
-    model = Word2Vec(
-        vectorSize=vector_size, minCount=min_count, maxIter=epochs, stepSize=STEP_SIZE, seed=seed,
-        inputCol=actions, outputCol="_v",
-    ).fit(sequences)
-    return model.transform(sequences).select(key, vector_to_array("_v").alias("vector"))
+    model = wordvectors.fit(
+        sequences, key, actions, vector_size=vector_size, min_count=min_count, epochs=epochs, rate=STEP_SIZE, seed=seed)
+    return model.transform(sequences, key, actions)
 
 
 def count_sequences(sequences: DataFrame, key: str, actions: str = "edit_actions") -> DataFrame:
