@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -88,23 +89,35 @@ def _pairs(sizes: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.
     return np.concatenate(words), np.concatenate(others)
 
 
-def train(
-    ids: np.ndarray, sizes: np.ndarray, paths: Tree, syn0: np.ndarray, syn1: np.ndarray,
-    rates: tuple[float, float], rng: np.random.Generator,
-) -> None:
-    """One epoch over the sequences ``ids`` of ``sizes``, in place, with rates
-    that go from the first to the second."""
+def _steps(
+    ids: np.ndarray, sizes: np.ndarray, paths: Tree, rates: tuple[float, float], rng: np.random.Generator
+) -> tuple[np.ndarray, ...]:
+    """The pairs of an epoch by step: its number, the neighbour whose vector
+    learns, and the inner nodes on the word's path with the turn and the weight,
+    which is the rate for each of the equal pairs."""
+    n = len(paths.points)
     word, other = _pairs(sizes, rng)
-    if not len(word):
-        return
-    # Equal pairs of a step are one pair with a weight.
-    n = len(syn0)
     keys, weight = np.unique((word // _STEP * n + ids[word]) * n + ids[other], return_counts=True)
     step, word, other = keys // (n * n), keys // n % n, keys % n
-    rate = rates[0] + (rates[1] - rates[0]) * step / (len(ids) / _STEP)
-    points, right, weights = paths.points[word], 1 - paths.turns[word], paths.there[word] * (weight * rate)[:, None]
-    way = _small if n <= _FEW else _any
-    way(step, other, points, right, weights, syn0, syn1)
+    rate = rates[0] + (rates[1] - rates[0]) * step / max(1, len(ids) / _STEP)
+    return step, other, paths.points[word], 1 - paths.turns[word], paths.there[word] * (weight * rate)[:, None]
+
+
+def train(
+    parts: list[tuple[np.ndarray, np.ndarray, np.random.Generator]], paths: Tree,
+    syn0: np.ndarray, syn1: np.ndarray, rates: tuple[float, float],
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Copies of both matrices after one epoch over each part, which is the ids
+    of its sequences, their sizes and its draws; the rates go from the first to
+    the second."""
+    steps = [_steps(ids, sizes, paths, rates, rng) for ids, sizes, rng in parts]
+    if len(syn0) <= _FEW:
+        yield from zip(*_small(steps, syn0, syn1), strict=True)
+        return
+    for part in steps:
+        own = syn0.copy(), syn1.copy()
+        _any(*part, *own)
+        yield own
 
 
 def _any(step, other, points, right, weights, syn0, syn1) -> None:
@@ -119,19 +132,24 @@ def _any(step, other, points, right, weights, syn0, syn1) -> None:
         np.add.at(syn1, p, g[:, :, None] * x[:, None, :])
 
 
-def _small(step, other, points, right, weights, syn0, syn1) -> None:
-    """The same steps as products of whole matrices, where words are few."""
+def _small(parts, syn0, syn1) -> tuple[np.ndarray, np.ndarray]:
+    """The same steps as products of whole matrices, where words are few; a
+    step of every part is done at once, each on its own copy."""
     n, m = len(syn0), len(syn1)
-    steps = int(step[-1]) + 1
-    cell = ((step * n + other)[:, None] * m + points).ravel()
-    both, yes = (
-        np.bincount(cell, w.ravel(), steps * n * m).reshape(steps, n, m) for w in (weights, weights * right))
-    for pulls, wanted in zip(both, yes, strict=True):
-        f = syn0 @ syn1.T
-        g = (wanted - pulls / (1 + np.exp(-f))) * (np.abs(f) < STEEPEST)
-        more = g @ syn1
-        syn1 += g.T @ syn0
-        syn0 += more
+    steps = max((int(p[0][-1]) + 1 for p in parts if len(p[0])), default=0)
+    both, wanted = np.zeros((2, steps, len(parts), n, m))
+    for i, (step, other, points, right, weights) in enumerate(parts):
+        cell = ((step * n + other)[:, None] * m + points).ravel()
+        for to, w in ((both, weights), (wanted, weights * right)):
+            to[:, i] = np.bincount(cell, w.ravel(), steps * n * m).reshape(steps, n, m)
+    x, y = (np.repeat(side[None], len(parts), 0) for side in (syn0, syn1))
+    for pulls, yes in zip(both, wanted, strict=True):
+        f = x @ y.transpose(0, 2, 1)
+        g = (yes - pulls / (1 + np.exp(-f))) * (np.abs(f) < STEEPEST)
+        more = g @ y
+        y += g.transpose(0, 2, 1) @ x
+        x += more
+    return x, y
 
 
 def _packer(words: tuple[str, ...]) -> Callable[[pa.Table], pa.Table]:
@@ -151,18 +169,24 @@ def _epoch(
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Trained copies: the vectors of the words and inner nodes that were met."""
 
+    def trained(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        parts = [
+            (*(np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("ids", "sizes")),
+             np.random.default_rng([seed, number, row["part"]])) for row in rows]
+        for own in train(parts, paths, syn0, syn1, rates):
+            for side, (old, new) in enumerate(zip((syn0, syn1), own, strict=True)):
+                met = np.flatnonzero((old != new).any(axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(met), side, np.int32)), pa.array(met),
+                     pa.array(list(np.rint(new[met] * _UNIT).astype(np.int64)), pa.list_(pa.int64()))],
+                    ["side", "i", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, sizes = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("ids", "sizes"))
-                own = syn0.copy(), syn1.copy()
-                train(ids, sizes, paths, *own, rates, np.random.default_rng([seed, number, row["part"]]))
-                for side, (old, new) in enumerate(zip((syn0, syn1), own, strict=True)):
-                    met = np.flatnonzero((old != new).any(axis=1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(met), side, np.int32)), pa.array(met),
-                         pa.array(list(np.rint(new[met] * _UNIT).astype(np.int64)), pa.list_(pa.int64()))],
-                        ["side", "i", "v"])
+        # Parts at once; their steps of few words weigh 50 MB at most each.
+        most = max(1, 16 * 6**2 // len(syn0) ** 2) if len(syn0) > 6 else 16
+        rows = (row for batch in batches for row in batch.to_pylist())
+        while held := list(islice(rows, most)):
+            yield from trained(held)
 
     return run
 

@@ -52,8 +52,12 @@ def test_few_words_take_the_same_steps_as_many(monkeypatch):
     for few in (32, 1):
         monkeypatch.setattr(W, "_FEW", few)
         syn0, syn1 = (np.random.default_rng(1).random((6, 8)) - 0.5) / 8, np.zeros((5, 8))
-        W.train(ids, sizes, paths, syn0, syn1, (0.025, 0.02), np.random.default_rng(9))
-        found.append((syn0, syn1))
+        part = lambda i: (ids[i:], sizes - [0, i, 0, 0], np.random.default_rng(9 + i))
+        both = list(W.train([part(0), part(300)], paths, syn0, syn1, (0.025, 0.02)))
+        # Parts that are trained at once do not see each other.
+        alone = [*W.train([part(0)], paths, syn0, syn1, (0.025, 0.02)), *W.train([part(300)], paths, syn0, syn1, (0.025, 0.02))]
+        assert all((x == y).all() for a, b in zip(both, alone) for x, y in zip(a, b))
+        found.append(both[0])
     assert np.allclose(found[0][0], found[1][0], atol=1e-12) and np.allclose(found[0][1], found[1][1], atol=1e-12)
     assert np.abs(found[0][1]).max() > 0.01
 
