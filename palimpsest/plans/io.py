@@ -73,7 +73,7 @@ def entries_written(t):
     S.write_entries(code_plans.entries(t), path)
     text = L.read_parallel(t.spark, f"{path}/before", f"{path}/after").withColumnRenamed("pair_id", "idx")
     data = L.read_lines(t.spark, f"{path}/data").select("idx", F.from_json("value", R.CHANGE_ENTRIES).alias("e"))
-    return text.join(data, "idx").select(
+    return text.join(data.hint("merge"), "idx").select(
         "idx", "e.name", "source", "target", F.concat_ws(",", "e.edit_actions").alias("edit_actions"))
 
 

@@ -62,11 +62,16 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 def read_parallel(spark: SparkSession, source: str, target: str) -> DataFrame:
     """``(pair_id, source, target)``: line i of one side with line i of the
-    other; sides of unequal length are an error."""
+    other; sides of unequal length are an error.
+
+    The sides meet by a sorted merge: files of lines that repeat are small, but
+    the lines are not, so a broadcast chosen by the size of the files may not
+    fit the driver.
+    """
     sides = [read_lines(spark, p).select("idx", "value") for p in (source, target)]
     counts = [s.count() for s in sides]
     if counts[0] != counts[1]:
         raise ValueError(f"{source} has {counts[0]} lines, {target} has {counts[1]}")
     left = sides[0].select(F.col("idx").alias("pair_id"), F.col("value").alias("source"))
     right = sides[1].select(F.col("idx").alias("pair_id"), F.col("value").alias("target"))
-    return left.join(right, "pair_id")
+    return left.join(right.hint("merge"), "pair_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import ALIGNER_SEPARATOR, WHITE
 from palimpsest.operators.ordering import with_group_index, with_index
-from palimpsest.session import fits_broadcast
+from palimpsest.session import fits_broadcast, materialize
 from palimpsest.sources.lines import read_lines
 from palimpsest.sources.records import CHANGE_ENTRIES
 
@@ -42,8 +42,12 @@ def write_text(df: DataFrame, column: str, path: str, order: list[Column]) -> No
 
 
 def write_entries(entries: DataFrame, path: str) -> None:
-    """``data`` (JSON Lines), ``before`` and ``after`` (text), aligned by line."""
-    rows = with_index(entries, [F.col("name")], "_idx")
+    """``data`` (JSON Lines), ``before`` and ``after`` (text), aligned by line.
+
+    The entries are frozen first: a range sort reads its input twice, and these
+    are parsed while they are read.
+    """
+    rows = with_index(materialize(entries, "entries"), [F.col("name")], "_idx")
     write_text(
         rows.withColumn("_json", F.to_json(F.struct(*entries.columns))), "_json", f"{path}/data", [F.col("_idx")]
     )
@@ -136,8 +140,9 @@ def write_cluster_corpora(entries: DataFrame, path: str) -> None:
     texts (``text``, columns before and after). An existing folder is an error.
 
     The sides keep neutral names; which one is the source is chosen on reading.
+    The entries are frozen before they are sorted, as in ``write_entries``.
     """
-    numbered = with_group_index(entries, ["cluster"], [F.col("name")], "line")
+    numbered = with_group_index(materialize(entries, "entries"), ["cluster"], [F.col("name")], "line")
     numbered.write.partitionBy("cluster").mode("errorifexists").json(f"{path}/data")
     numbered.select(
         "cluster",
