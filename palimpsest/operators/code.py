@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.pycode import functions_of, tokens_of, values_of
-from palimpsest.functions.rows import element_rows, once
+from palimpsest.functions.pycode import functions_of, lines_of, paired_functions_of, tokens_of, values_of
+from palimpsest.functions.rows import element_rows
 from palimpsest.functions.text import one_line
 
 # Fixed value: the longest side of a kept pair.
@@ -37,22 +37,11 @@ def pair_functions(changes: DataFrame, *keep: str) -> DataFrame:
     """One row per function present before and after: ``func_name``,
     ``before_code``, ``after_code``.
 
-    Both texts sit in one row, so pairing needs no shuffle. A change with an
-    unreadable side is dropped whole.
+    Both texts sit in one row, so pairing needs no shuffle; each is parsed once.
+    A change with an unreadable side is dropped whole.
     """
-    def paired(names: Column) -> Column:
-        def pair(f: Column) -> Column:
-            at = (F.array_position(names, f["name"]) - 1).cast("int")
-            return F.struct(
-                f["name"].alias("func_name"),
-                f["code"].alias("before_code"),
-                F.get("a.functions", at)["code"].alias("after_code"),
-            )
-
-        return F.transform("b.functions", pair)
-
-    both = F.filter(once(F.col("a.functions.name"), paired), lambda p: p["after_code"].isNotNull())
-    return element_rows(_both_sides(changes, *keep), both, "x", *keep).select(*keep, "x.*")
+    both = changes.select(*keep, paired_functions_of("code_before", "code_after").alias("p"))
+    return element_rows(both, "p", "x", *keep).select(*keep, "x.*")
 
 
 def created_and_removed(changes: DataFrame, *keep: str) -> DataFrame:
@@ -82,8 +71,7 @@ def token_table(
 
 def one_line_code(code: Column | str, max_tokens: int | None = None) -> Column:
     """The code as blank-separated tokens; null if unreadable or too long."""
-    t = tokens_of(code, max_tokens)
-    return F.when(t["error"].isNull(), F.concat_ws(" ", t["tokens"]["token"]))
+    return lines_of(code, max_tokens)
 
 
 def spaced_one_line(code: Column | str) -> Column:

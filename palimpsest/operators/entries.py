@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.script import edit_script_of
+from palimpsest.functions.script import edit_actions_of
 from palimpsest.operators import abstraction as A
 from palimpsest.operators import code as C
 from palimpsest.session import materialize
@@ -23,8 +23,9 @@ def change_entries(
 
     Unreadable files, long functions and pairs equal after abstraction drop
     out, in that order, before the edit actions are derived. Each text is
-    parsed once: the paired functions are written to the shared folder. A pair
-    is numbered, compared and mapped inside its one row.
+    parsed once: the paired functions are written to the shared folder. A
+    function whose code stays is equal after abstraction too, so it is not
+    abstracted. A pair is numbered, compared and mapped inside its one row.
     """
     keep = ["repository", "commit_after", "file_after"]
     found = C.pair_functions(changes, *keep).select(
@@ -32,6 +33,7 @@ def change_entries(
         "before_code",
         "after_code",
     )
+    found = found.filter("before_code <> after_code")
     # Rows are told apart by a number, since a name may occur more than once.
     found = found.withColumn("pair_id", F.monotonically_increasing_id())
     pairs = materialize(found, "function-pairs")
@@ -45,6 +47,6 @@ def change_entries(
         *keep,
         F.col("before").alias("before_code_normalized"),
         F.col("after").alias("after_code_normalized"),
-        edit_script_of("b", "a")["action"].alias("edit_actions"),
+        edit_actions_of("b", "a").alias("edit_actions"),
         A.entry_maps().alias("replacement_map"),
     )
