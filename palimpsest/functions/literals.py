@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,8 @@ def literal_class(token: Column | str) -> Column:
     return out
 
 
-def literal_classes(tokens: Column | str, unclassed: str = "") -> Column:
-    """``literal_class`` of the tokens of an array; those that begin with
-    ``unclassed`` have none. Each text is judged once a batch."""
+def class_of(unclassed: str = "") -> Callable[[str | None], str | None]:
+    """``literal_class`` of one token; those that begin with ``unclassed`` have none."""
     patterns = [(name, re.compile(pattern)) for name, pattern in _PATTERNS.items()]
     keywords = frozenset(KEYWORDS)
 
@@ -60,6 +60,14 @@ def literal_classes(tokens: Column | str, unclassed: str = "") -> Column:
             return None
         return next((name for name, p in patterns if p.search(token)), None)
 
+    return one
+
+
+def literal_classes(tokens: Column | str, unclassed: str = "") -> Column:
+    """``literal_class`` of the tokens of an array; those that begin with
+    ``unclassed`` have none. Each text is judged once a batch."""
+    one = class_of(unclassed)
+
     def run(lists: pa.Array) -> pa.Array:
         texts = lists.flatten().dictionary_encode()
         classes = pa.array([one(t) for t in texts.dictionary.to_pylist()], pa.string())

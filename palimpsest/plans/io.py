@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.operators import abstraction as A
 from palimpsest.operators import metric
 from palimpsest.operators.beams import cut_attention
 from palimpsest.operators.mining import file_changes
@@ -90,10 +89,11 @@ def _entry_chunks(t):
     """Entries in three chunks, as data and as text lines."""
     from palimpsest.operators.ordering import with_group_index
 
-    lines = A.changed_and_short(A.pair_texts(code_plans.numbered(t, "normalized"))).select(
+    lines = code_plans.changed_lines(t).select(
         "pair_id", F.col("before").alias("before_code_normalized"), F.col("after").alias("after_code_normalized"))
-    rows = lines.withColumn("chunk", (F.col("pair_id") % 3).cast("int"))
-    data = materialize(with_group_index(rows, ["chunk"], [F.col("pair_id")], "line"), "chunked")
+    # Frozen before the range sort, which reads its input twice.
+    rows = materialize(lines.withColumn("chunk", (F.col("pair_id") % 3).cast("int")), "lines")
+    data = with_group_index(rows, ["chunk"], [F.col("pair_id")], "line")
     side = [data.select("chunk", "line", F.concat(f"{s}_code_normalized", F.lit(" ")).alias("value")) for s in ("before", "after")]
     return data, *side
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import ALIGNER_SEPARATOR, WHITE
-from palimpsest.operators.ordering import with_group_index, with_index
-from palimpsest.session import fits_broadcast, materialize
+from palimpsest.operators.ordering import with_group_index, with_index, with_running_sums
+from palimpsest.session import dictionary_join, fits_broadcast, materialize
 from palimpsest.sources.lines import read_lines
 from palimpsest.sources.records import CHANGE_ENTRIES
 
@@ -79,12 +79,25 @@ def merge_report(data: DataFrame, before: DataFrame, after: DataFrame) -> DataFr
 
 def merge_chunks(data: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """All chunks in numeric order with a global ``idx``; misaligned chunks are
-    an error."""
+    an error.
+
+    Where the lines of every chunk are 0.. without gaps, a line's ``idx`` is its
+    number behind the chunks before it and no text is sorted.
+    """
     report = merge_report(data, before, after).first()
     wrong = {k: report[k] for k in ("unaligned", "before_differs", "after_differs") if report[k]}
     if wrong:
         raise ValueError(f"chunks do not agree: {wrong}")
-    return with_index(data, [F.col("chunk"), F.col("line")], "idx")
+    lines = data.groupBy("chunk", "line").agg(F.count(F.lit(1)).alias("n"))
+    sizes = lines.groupBy("chunk").agg(F.sum("n").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.max("n").alias("most"))
+    sizes = materialize(sizes, "sizes")
+    whole = F.coalesce((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("most") == 1) & F.col("chunk").isNotNull(), F.lit(False))
+    if sizes.filter(~whole).limit(1).count():
+        return with_index(data, [F.col("chunk"), F.col("line")], "idx")
+    starts = with_running_sums(sizes.select("chunk", "n"), [F.col("chunk")], {"_end": "n"})
+    starts = starts.select("chunk", (F.col("_end") - F.col("n")).alias("_start"))
+    rows = dictionary_join(data, starts, ["chunk"], "inner").withColumn("idx", F.col("_start") + F.col("line"))
+    return rows.select(*data.columns, "idx")
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
