@@ -70,12 +70,66 @@ def _add(to: np.ndarray, where: np.ndarray, what: np.ndarray) -> None:
     to[where[first]] += np.add.reduceat(what[order], first, axis=0)
 
 
+# Cells of rows and words that a step holds, and its pairs drawn ahead.
+_CELLS = 1 << 12
+_AHEAD = 1 << 14
+
+
+def _drawn(noise: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The words at the given shares; few words are found by comparing with each."""
+    if len(noise) > 16:
+        return np.searchsorted(noise, shares, "right")
+    out = np.zeros(shares.shape, np.uint8)
+    for edge in noise:
+        out += (shares >= edge).view(np.uint8)
+    return out
+
+
+def _train_cells(
+    rows: np.ndarray, words: np.ndarray, docs: np.ndarray, matrix: np.ndarray, noise: np.ndarray,
+    rates: np.ndarray, rng: np.random.Generator, settings: Settings, learn: bool,
+) -> None:
+    """``_train`` for few rows and words: the steps, draws and damping are the
+    same. The pairs of a cell (row, word) have one score in a step, so a step
+    needs only how many wanted and noise words each cell has."""
+    count, kinds = len(docs), len(matrix)
+    size = count * kinds
+    ahead = max(1, _AHEAD // settings.batch) * settings.batch
+    for rate in rates:
+        order = rng.permutation(len(rows))
+        for begin in range(0, len(order), ahead):
+            some = order[begin : begin + ahead]
+            own = words[some][:, None]
+            drawn = _drawn(noise, rng.random((len(some), settings.negative)))
+            steps = -(-len(some) // settings.batch)
+            first = np.arange(len(some)) // settings.batch * size + rows[some] * kinds
+
+            def counts(cells: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+                return np.bincount(cells, weights, steps * size).reshape(steps, count, kinds)
+
+            wanted = counts(first + own[:, 0])
+            met = wanted + counts((first[:, None] + drawn).ravel())
+            # A noise word equal to the row's word teaches nothing.
+            taught = met - counts(first + own[:, 0], (drawn == own.astype(drawn.dtype)).sum(axis=1))
+            per_row = np.maximum(1, met.sum(axis=2, keepdims=True) / (_PULLS * (1 + settings.negative)))
+            per_word = np.maximum(1, met.sum(axis=1) / _PULLS)
+            for step in range(steps):
+                shares = 1 / (1 + np.exp(-np.clip(docs @ matrix.T, -30, 30)))
+                error = (wanted[step] - taught[step] * shares) * rate
+                moved = (error / per_row[step]) @ matrix
+                if learn:
+                    matrix += (error / per_word[step]).T @ docs
+                docs += moved
+
+
 def _train(
     rows: np.ndarray, words: np.ndarray, docs: np.ndarray, matrix: np.ndarray, noise: np.ndarray,
     rates: np.ndarray, rng: np.random.Generator, settings: Settings, learn: bool,
 ) -> None:
     """Epochs over all (row, word) pairs, in place; ``noise`` is the rising
     share of the words in the noise distribution."""
+    if docs.shape[0] * matrix.shape[0] <= _CELLS:
+        return _train_cells(rows, words, docs, matrix, noise, rates, rng, settings, learn)
     for rate in rates:
         order = rng.permutation(len(rows))
         for at in range(0, len(order), settings.batch):

@@ -95,3 +95,31 @@ def test_a_part_is_small_but_has_as_many_rows_as_words(spark):
         assert seen == [0]
     finally:
         P._round = real
+
+
+@pytest.mark.parametrize("learn", [True, False])
+def test_steps_over_cells_are_the_steps_over_pairs(monkeypatch, learn):
+    rng = np.random.default_rng(2)
+    rows, words = np.sort(rng.integers(0, 30, 900)), rng.integers(0, 4, 900)
+    noise = np.array([0.4, 0.7, 0.9, 1.0])
+    settings = P.Settings(vector_size=7, batch=64)
+    monkeypatch.setattr(P, "_AHEAD", 256)
+
+    def trained(cells):
+        monkeypatch.setattr(P, "_CELLS", cells)
+        docs, matrix = P._start_vectors(np.arange(30), 7), np.full((4, 7), 0.1) * np.arange(1, 5)[:, None]
+        P._train(rows, words, docs, matrix, noise, np.linspace(0.3, 0.1, 5), np.random.default_rng(9), settings, learn)
+        return docs, matrix
+
+    for found, expected in zip(trained(1 << 12), trained(0)):
+        assert np.abs(found - expected).max() < 1e-12
+    met = []
+    monkeypatch.setattr(P, "_add", lambda *a: met.append(a))
+    trained(1 << 12)
+    assert not met
+
+
+def test_noise_words_are_drawn_alike_however_found():
+    shares = np.concatenate((np.random.default_rng(0).random(500), [0.0, 0.25, 0.5]))
+    for noise in (np.array([0.25, 0.5, 1.0]), np.linspace(0.04, 1, 25), np.ones(1)):
+        assert (P._drawn(noise, shares) == np.searchsorted(noise, shares, "right")).all()
